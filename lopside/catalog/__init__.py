@@ -1,7 +1,7 @@
 """Registered queries and their SQL twins."""
 
-from lopside.catalog import evaluation, sampling, tabular
+from lopside.catalog import evaluation, neighborhood, sampling, tabular
 
-MODULES = [tabular, sampling, evaluation]
+MODULES = [tabular, sampling, evaluation, neighborhood]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}

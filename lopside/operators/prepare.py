@@ -41,14 +41,13 @@ def fit_medians(
     Exact by default. ``approx=True`` is the one-pass sketch for callers who
     accept its error.
     """
-    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    with_null = [c for c in cols if nulls[c] > 0]
-    if not with_null:
-        return {}
     if approx:
-        row = df.agg(*[F.percentile_approx(c, 0.5, 100_000).alias(c) for c in with_null]).first()
-        return {c: float(row[c]) for c in with_null if row[c] is not None}
-    fitted = exact_quantiles(df, with_null, [0.5])
+        row = df.agg(*[
+            F.when(F.count(c) < F.count(F.lit(1)), F.percentile_approx(c, 0.5, 100_000)).alias(c)
+            for c in cols
+        ]).first()
+        return {c: float(row[c]) for c in cols if row[c] is not None}
+    fitted = exact_quantiles(df, cols, [0.5], only_with_nulls=True)
     return {c: v[0] for c, v in fitted.items() if v[0] is not None}
 
 

@@ -6,6 +6,9 @@ constant-size sketch brackets each wanted order statistic, and a second pass
 counts what lies below the bracket and ranks only the values inside it.
 The bracket is checked; if it misses, it is widened and the pass repeats, so
 the result is exact whatever the sketch returned.
+
+Columns go through as (column number, value) rows rather than as one aggregate
+per column, which keeps the generated code small for wide tables.
 """
 
 from __future__ import annotations
@@ -19,93 +22,92 @@ SKETCH_ACCURACY = 10_000
 
 
 def exact_quantiles(
-    df: DataFrame, cols: list[str], fractions: list[float]
+    df: DataFrame, cols: list[str], fractions: list[float], only_with_nulls: bool = False
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles (nulls ignored) per column."""
+    """Linearly interpolated quantiles (nulls ignored) per column.
+
+    ``only_with_nulls`` leaves out columns that are complete.
+    """
     if not cols:
         return {}
-    pending = [(c, f) for c in cols for f in fractions]
-    found: dict[tuple[str, float], float | None] = {}
+    values = _long(df, cols)
     slack = 2.0 / SKETCH_ACCURACY
-    while pending:
-        found |= _bracketed_pass(df, pending, slack)
-        pending = [item for item in pending if item not in found]
+    found: dict[tuple[int, int], float | None] = {}
+    pending = None
+    while pending is None or pending:
+        sketches = _sketch(values, fractions, slack)
+        if pending is None:
+            pending = {
+                (i, j) for i in range(len(cols)) for j in range(len(fractions))
+                if not only_with_nulls or sketches[i][1] > sketches[i][0]
+            }
+        found |= _select(values, fractions, sketches, pending)
+        pending -= set(found)
         slack *= 10
-    return {c: [found[(c, f)] for f in fractions] for c in cols}
+    wanted = sorted({i for i, _ in found})
+    return {cols[i]: [found[(i, j)] for j in range(len(fractions))] for i in wanted}
 
 
-def _bracketed_pass(df, pending, slack):
-    cols = list(dict.fromkeys(c for c, _ in pending))
-    wanted = {c: [f for col, f in pending if col == c] for c in cols}
-    sketch = []
-    for i, c in enumerate(cols):
-        edges = []
-        for f in wanted[c]:
-            edges += [max(f - slack, 0.0), min(f + slack, 1.0)]
-        sketch.append(F.count(c).alias(f"n{i}"))
-        sketch.append(
-            F.percentile_approx(F.col(c).cast("double"), edges, SKETCH_ACCURACY).alias(f"e{i}")
-        )
-    row = df.agg(*sketch).first()
+def _long(df: DataFrame, cols: list[str]) -> DataFrame:
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v"))
+        for i, c in enumerate(cols)
+    ])
+    return df.select(F.explode(cells).alias("s")).select("s.i", "s.v")
 
-    found, brackets = {}, []
-    for i, c in enumerate(cols):
-        n = row[f"n{i}"]
-        for j, f in enumerate(wanted[c]):
-            if n == 0:
-                found[(c, f)] = None
-                continue
-            position = (n - 1) * f
-            low, high = math.floor(position), math.ceil(position)
-            lo, hi = row[f"e{i}"][2 * j], row[f"e{i}"][2 * j + 1]
-            brackets.append((len(brackets), c, f, position, low, high, lo, hi))
-    if not brackets:
-        return found
 
-    below = [
-        F.count_if(F.col(c).cast("double") < F.lit(lo)).alias(f"b{i}")
-        for i, c, _, _, _, _, lo, _ in brackets
-    ]
-    counts = df.agg(*below).first()
+def _sketch(values: DataFrame, fractions: list[float], slack: float) -> dict:
+    """Per column: known values, rows, and a bracket per fraction."""
+    edges = [e for f in fractions for e in (max(f - slack, 0.0), min(f + slack, 1.0))]
+    rows = values.groupBy("i").agg(
+        F.count("v").alias("known"), F.count(F.lit(1)).alias("rows"),
+        F.percentile_approx("v", edges, SKETCH_ACCURACY).alias("edges"),
+    ).collect()
+    return {r["i"]: (r["known"], r["rows"], r["edges"]) for r in rows}
+
 
-    # One narrow pass emits only values inside a bracket; equal values collapse
-    # before the shuffle.
-    inside = F.filter(
-        F.array(*[
-            F.when(
-                F.col(c).cast("double").between(lo, hi),
-                F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")),
-            )
-            for i, c, _, _, _, _, lo, hi in brackets
-        ]),
-        lambda item: item.isNotNull(),
+def _select(values, fractions, sketches, pending):
+    found, brackets, positions = {}, [], {}
+    for i, j in pending:
+        known, _, edges = sketches.get(i, (0, 0, None))
+        if not known:
+            found[(i, j)] = None
+            continue
+        position = (known - 1) * fractions[j]
+        positions[(i, j)] = position
+        brackets.append((
+            i, j, edges[2 * j], edges[2 * j + 1], math.floor(position), math.ceil(position)
+        ))
+    if not brackets:
+        return found
+    # One row per (column, fraction): as many as the caller asked for.
+    table = values.sparkSession.createDataFrame(
+        brackets, "i int, j int, lo double, hi double, low long, high long"
     )
-    values = (
-        df.select(F.explode(inside).alias("s")).select("s.i", "s.v")
-        .groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    # Values below a bracket collapse to one null group, equal values inside it
+    # to one row each, both before the shuffle.
+    counted = (
+        values.where("v IS NOT NULL").join(F.broadcast(table), "i").where("v <= hi")
+        .groupBy("i", "j", "low", "high", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     upto = F.sum("n").over(
-        Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy("i", "j").orderBy(F.asc_nulls_first("v"))
+        .rowsBetween(Window.unboundedPreceding, 0)
     )
-    ranked = values.withColumn("last", upto).withColumn("first", F.col("last") - F.col("n"))
-    # ``first`` and ``last`` bound the zero-based ranks [first, last) of v
-    # inside the bracket; add what lies below it.
-    condition = F.lit(False)
-    for i, _, _, _, low, high, _, _ in brackets:
-        for rank in {low, high}:
-            at = rank - counts[f"b{i}"]
-            condition = condition | (
-                (F.col("i") == i) & (F.col("first") <= at) & (at < F.col("last"))
-            )
-    hits = ranked.where(condition).collect()  # at most two rows per bracket
-
-    for i, c, f, position, low, high, _, _ in brackets:
-        at = lambda rank: next(
-            (h["v"] for h in hits
-             if h["i"] == i and h["first"] <= rank - counts[f"b{i}"] < h["last"]),
-            None,
-        )
-        v_low, v_high = at(low), at(high)
-        if v_low is not None and v_high is not None:
-            found[(c, f)] = v_low + (v_high - v_low) * (position - low)
+    holds = lambda rank: (F.col("first") <= F.col(rank)) & (F.col(rank) < F.col("last"))
+    hits = (
+        counted.withColumn("last", upto).withColumn("first", F.col("last") - F.col("n"))
+        .where("v IS NOT NULL").where(holds("low") | holds("high"))
+        .collect()  # at most two rows per bracket
+    )
+    ends: dict[tuple[int, int], dict[int, float]] = {}
+    for h in hits:
+        for rank in {h["low"], h["high"]}:
+            if h["first"] <= rank < h["last"]:
+                ends.setdefault((h["i"], h["j"]), {})[rank] = h["v"]
+    for i, j, _, _, low, high in brackets:
+        at = ends.get((i, j), {})
+        if low in at and high in at:
+            found[(i, j)] = at[low] + (at[high] - at[low]) * (positions[(i, j)] - low)
     return found
