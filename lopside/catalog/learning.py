@@ -24,7 +24,7 @@ SMOOTHING = 1e-9
 BOOST_RATE = 0.5
 
 
-def prepared(spark, d, keep=False):
+def prepared(spark, d, keep=True):
     return fit_prepare(patient(spark, d), keep=keep)
 
 
@@ -55,7 +55,7 @@ def gnb_score(spark, d):
 
 
 def bagged_train(parts, n_bags):
-    return balanced_bags(parts.part("train"), LABEL, n_bags, SEED, KEY)
+    return materialize(balanced_bags(parts.part("train"), LABEL, n_bags, SEED, KEY))
 
 
 def bag_gnb(spark, d):
@@ -97,31 +97,31 @@ def boost_weights(spark, d):
 
 
 def lr(spark, d):
-    parts = prepared(spark, d, keep=True)
-    train = materialize(bagged_train(parts, FIT_BAGS))
+    parts = prepared(spark, d)
+    train = bagged_train(parts, FIT_BAGS)
     return quality(logit.fit_logit(train, FEATURES, LABEL, 0.1, "l1", FIT_BAGS, max_iter=100), parts)
 
 
 def dt(spark, d):
-    parts = prepared(spark, d, keep=True)
-    train = materialize(bagged_train(parts, FIT_BAGS))
+    parts = prepared(spark, d)
+    train = bagged_train(parts, FIT_BAGS)
     return quality(tree.fit_trees(train, FEATURES, LABEL, 6, 10, "0.7", FIT_BAGS), parts)
 
 
 def balanced_rf(spark, d):
-    parts = prepared(spark, d, keep=True)
-    train = materialize(bagged_train(parts, FIT_BAGS))
+    parts = prepared(spark, d)
+    train = bagged_train(parts, FIT_BAGS)
     return quality(tree.fit_balanced_forest(train, FEATURES, LABEL, 10, 3, FIT_BAGS), parts)
 
 
 def gbt(spark, d):
-    parts = prepared(spark, d, keep=True)
+    parts = prepared(spark, d)
     params = boost.BoostParams(0.1, 3, 5)
     return quality(boost.fit_boosted(parts.part("train"), FEATURES, LABEL, params), parts)
 
 
 def gbt_early(spark, d):
-    parts = prepared(spark, d, keep=True)
+    parts = prepared(spark, d)
     params = boost.BoostParams(0.1, 3, 6)
     model, rounds = boost.fit_boosted_early(
         parts.part("train"), parts.part("val"), FEATURES, LABEL, params, patience=3
@@ -130,25 +130,25 @@ def gbt_early(spark, d):
 
 
 def gbt_bags(spark, d):
-    parts = prepared(spark, d, keep=True)
-    train = materialize(bagged_train(parts, FIT_BAGS))
+    parts = prepared(spark, d)
+    train = bagged_train(parts, FIT_BAGS)
     params = boost.BoostParams(0.1, 3, 3)
     return quality(boost.fit_boosted_bags(train, FEATURES, LABEL, params, FIT_BAGS), parts)
 
 
 def easy_ensemble(spark, d):
-    parts = prepared(spark, d, keep=True)
+    parts = prepared(spark, d)
     return quality(adaboost.fit_easy_ensemble(parts.part("train"), FEATURES, LABEL, 2, 3), parts)
 
 
 def rusboost(spark, d):
-    parts = prepared(spark, d, keep=True)
+    parts = prepared(spark, d)
     return quality(adaboost.fit_rusboost(parts.part("train"), FEATURES, LABEL, 4, 0.5, 2), parts)
 
 
 def bag_pca_knn(spark, d):
-    parts = prepared(spark, d, keep=True)
-    train = materialize(bagged_train(parts, FIT_BAGS))
+    parts = prepared(spark, d)
+    train = bagged_train(parts, FIT_BAGS)
     model = neighbors.fit_bagged_neighbors(
         train, FEATURES, LABEL, FIT_BAGS, n_components=10, k=11
     )
@@ -156,7 +156,7 @@ def bag_pca_knn(spark, d):
 
 
 def reduce_clean_knn(spark, d):
-    parts = prepared(spark, d, keep=True)
+    parts = prepared(spark, d)
     model = neighbors.fit_neighbors(
         parts.part("train"), FEATURES, LABEL, resampler="smoteenn", n_components=8, k=11
     )
@@ -164,7 +164,7 @@ def reduce_clean_knn(spark, d):
 
 
 def select_clean_knn(spark, d):
-    parts = prepared(spark, d, keep=True)
+    parts = prepared(spark, d)
     model = neighbors.fit_neighbors(
         parts.part("train"), FEATURES, LABEL, resampler="smotetomek", n_selected=8, k=11,
         weighting="distance",

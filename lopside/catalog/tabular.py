@@ -9,6 +9,7 @@ from lopside.functions.features import engineer_features
 from lopside.operators import prepare as P
 from lopside.plans.prepare import class_profile, fit_prepare
 from lopside.schema import DERIVED_FEATURES, FEATURES, KEY, LABEL, RAW_FEATURES
+from lopside.session import small_table
 from lopside.sources.patient import patient, scored_patients
 from lopside.sources.tables import check_inputs, read_table
 
@@ -20,7 +21,7 @@ def rounded(df, columns, places=6):
 
 
 def param_rows(spark, values: dict[str, float], name: str, value: str):
-    return spark.createDataFrame(list(values.items()), f"{name} string, {value} double")
+    return small_table(spark, list(values.items()), f"{name} string, {value} double")
 
 
 def scan(spark, d):

@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lopside.operators.quantiles import exact_quantiles
+from lopside.operators.quantiles import exact_quantiles, long_form
 from lopside.sources.tables import check_inputs
 
 # Parameters are inlined as literals up to this many columns, beyond it they
@@ -132,30 +131,16 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def fit_scaler(df: DataFrame, cols: list[str]) -> DataFrame:
     """(feature, pos, mean, scale) rows; population deviation, 1 if it is 0."""
-    stats = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        stats += [F.avg(x).alias(f"{c}__mean"), F.stddev_pop(x).alias(f"{c}__dev")]
-    row = df.agg(*stats)
-    rows = F.explode(F.array(*[
-        F.struct(
-            F.lit(c).alias("feature"),
-            F.lit(i).alias("pos"),
-            F.col(f"`{c}__mean`").alias("mean"),
-            F.when(F.col(f"`{c}__dev`") == 0.0, F.lit(1.0))
-            .otherwise(F.col(f"`{c}__dev`")).alias("scale"),
+    deviation = F.stddev_pop("v")
+    names = F.array(*[F.lit(c) for c in cols])
+    return (
+        long_form(df, cols).groupBy("i")
+        .agg(
+            F.avg("v").alias("mean"),
+            F.when(deviation == 0.0, F.lit(1.0)).otherwise(deviation).alias("scale"),
         )
-        for i, c in enumerate(cols)
-    ]))
-    return row.select(rows.alias("s")).select("s.*")
-
-
-SCALER_SCHEMA = T.StructType([
-    T.StructField("feature", T.StringType()),
-    T.StructField("pos", T.IntegerType()),
-    T.StructField("mean", T.DoubleType()),
-    T.StructField("scale", T.DoubleType()),
-])
+        .select(F.get(names, F.col("i")).alias("feature"), F.col("i").alias("pos"), "mean", "scale")
+    )
 
 
 def scaler_params(scaler: DataFrame) -> dict[str, tuple[float, float]]:

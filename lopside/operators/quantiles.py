@@ -18,6 +18,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lopside.session import small_table
+
 SKETCH_ACCURACY = 10_000
 
 
@@ -30,7 +32,7 @@ def exact_quantiles(
     """
     if not cols:
         return {}
-    values = _long(df, cols)
+    values = long_form(df, cols)
     slack = 2.0 / SKETCH_ACCURACY
     found: dict[tuple[int, int], float | None] = {}
     pending = None
@@ -48,12 +50,17 @@ def exact_quantiles(
     return {cols[i]: [found[(i, j)] for j in range(len(fractions))] for i in wanted}
 
 
-def _long(df: DataFrame, cols: list[str]) -> DataFrame:
+def long_form(df: DataFrame, cols: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(*keep, i, v): one row per cell, ``i`` the column's number.
+
+    Aggregating cells by number needs one small generated loop; one aggregate
+    per column would generate methods too large for the JIT on wide tables.
+    """
     cells = F.array(*[
         F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v"))
         for i, c in enumerate(cols)
     ])
-    return df.select(F.explode(cells).alias("s")).select("s.i", "s.v")
+    return df.select(*keep, F.explode(cells).alias("_s")).select(*keep, "_s.i", "_s.v")
 
 
 def _sketch(values: DataFrame, fractions: list[float], slack: float) -> dict:
@@ -81,8 +88,8 @@ def _select(values, fractions, sketches, pending):
     if not brackets:
         return found
     # One row per (column, fraction): as many as the caller asked for.
-    table = values.sparkSession.createDataFrame(
-        brackets, "i int, j int, lo double, hi double, low long, high long"
+    table = small_table(
+        values.sparkSession, brackets, "i int, j int, lo double, hi double, low long, high long"
     )
     # Values below a bracket collapse to one null group, equal values inside it
     # to one row each, both before the shuffle.

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 # Settings that hold at any size. Partition counts and memory are left to the
 # cluster; AQE coalesces and splits shuffle partitions at run time.
@@ -51,3 +54,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of parameters as a local relation (no Python job behind it)."""
+    parsed = StructType.fromDDL(schema)
+    columns = list(zip(*rows)) if rows else [[] for _ in parsed.fields]
+    table = pa.table(
+        {f.name: pa.array(list(c), to_arrow_type(f.dataType)) for f, c in zip(parsed.fields, columns)}
+    )
+    return spark.createDataFrame(table, parsed)
