@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lopside.catalog import sql as S
@@ -11,10 +13,15 @@ from lopside.functions.thresholds import family_default, family_grid
 from lopside.learners import adaboost, boost, gnb, logit, neighbors, tree
 from lopside.operators import metrics as M
 from lopside.operators.sampling import balanced_bags
+from lopside.plans import families
 from lopside.plans.prepare import fit_prepare, prepare
+from lopside.plans.score import score as score_bundle
 from lopside.schema import FEATURES, KEY, LABEL
-from lopside.session import materialize
-from lopside.sources.patient import patient
+from lopside.session import ensure_checkpoint_dir, materialize
+from lopside.sources.bundle import Bundle, load_bundle, save_bundle
+from lopside.sources.patient import patient, patient_rows
+from lopside.streaming.score import read_stream
+from lopside.streaming.score import score_stream as stream_scores
 
 N_BAGS = 3
 FIT_BAGS = 2
@@ -84,6 +91,69 @@ def score(spark, d):
     return rounded(scored.select(KEY, "p", "pred"), ["p"], 5)
 
 
+def score_stream(spark, d):
+    """The same scoring over a stream of files, drained to a table and read back."""
+    parts = prepared(spark, d)
+    model = gnb.fit_gnb(parts.part("train"), NB_FEATURES, LABEL, smoothing=SMOOTHING)
+    bundle = Bundle(model, FEATURES, parts.medians, parts.scaler, 0.5)
+    source = f"{d}/orders.parquet"
+    orders = read_stream(spark, source, spark.read.parquet(source).schema)
+    home = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    drained = stream_scores(
+        patient_rows(orders).drop(LABEL), bundle, f"{home}/out", f"{home}/state"
+    )
+    drained.awaitTermination()
+    return rounded(spark.read.parquet(f"{home}/out"), ["p"], 5)
+
+
+def bundle_score(spark, d):
+    """Scoring with a bundle that went through storage."""
+    parts = prepared(spark, d)
+    model = gnb.fit_gnb(parts.part("train"), NB_FEATURES, LABEL, smoothing=SMOOTHING)
+    home = f"{ensure_checkpoint_dir(spark)}/bundle-{uuid.uuid4().hex}"
+    save_bundle(Bundle(model, FEATURES, parts.medians, parts.scaler, 0.5), spark, home)
+    scored = score_bundle(patient(spark, d).drop(LABEL), load_bundle(spark, home))
+    return rounded(scored.select(KEY, "p", "pred"), ["p"], 5)
+
+
+# Small grids for the registered searches; the full ones are families.FULL_GRIDS.
+SMALL_GRIDS = {
+    "lr": [("BalancedBagging", {"penalty": ["l2"], "C": [0.1], "n": [2]})],
+    "dt": [("BalancedBagging", {"depth": [5], "leaf": [10], "features": ["0.7"], "n": [2]})],
+    "knn": [("BalancedBagging", {"k": [7, 11], "weighting": ["uniform", "distance"], "p": [2], "n": [2, 3]})],
+    "nb": [("BalancedBagging", {"smoothing": [1e-9, 1e-3, 1e-1], "n": [3, 5]})],
+    "rf": [("BalancedBagging", {"depth": [8], "leaf": [3], "n": [1, 2]})],
+    "xgb": [("BalancedBagging", {"n": [2], "rounds": [3], "depth": [3], "rate": [0.1], "min_child": [1]})],
+}
+RESULT_ROUNDED = ["threshold", "val_f1", "val_prec", "val_rec", "val_auc"]
+
+
+def nb_search(spark, d):
+    """The whole naive Bayes grid, 33 configurations, from one set of statistics."""
+    results = families.search("nb", prepared(spark, d))
+    return rounded(results.drop("params"), RESULT_ROUNDED)
+
+
+def knn_search(spark, d):
+    """All 28 configurations over synthetic minority rows, from one pass per metric."""
+    grids = {"knn": families.FULL_GRIDS["knn"][:1]}
+    configs = families.family_configs("knn", grids)
+    results = families.search("knn", prepared(spark, d), configs)
+    return rounded(results.drop("params"), RESULT_ROUNDED)
+
+
+def refit(spark, d):
+    configs = families.family_configs("nb", SMALL_GRIDS)
+    return families.train_family("nb", prepared(spark, d), configs).metrics
+
+
+def train_all(spark, d):
+    board, _, errors = families.train_all(prepared(spark, d), SMALL_GRIDS)
+    if errors:
+        raise RuntimeError(str(errors))
+    return board
+
+
 def boost_weights(spark, d):
     """One boosting round on a fixed rule: who is missed weighs more."""
     rows = patient(spark, d)
@@ -193,6 +263,8 @@ QUERIES = {
     "q_bag_gnb": bag_gnb,
     "q_bag_average": bag_average,
     "q_score": score,
+    "q_score_stream": score_stream,
+    "q_bundle_score": bundle_score,
     "q_boost_weights": boost_weights,
     "q_gnb_pipeline": gnb_pipeline,
     "q_lr": lr,
@@ -206,6 +278,10 @@ QUERIES = {
     "q_bag_pca_knn": bag_pca_knn,
     "q_reduce_clean_knn": reduce_clean_knn,
     "q_select_clean_knn": select_clean_knn,
+    "q_nb_search": nb_search,
+    "q_knn_search": knn_search,
+    "q_refit": refit,
+    "q_train_all": train_all,
 }
 
 _label = S.q(LABEL)
@@ -244,6 +320,9 @@ _bagged = f"""{bag_ctes('train', N_BAGS, SEED)},
 bagged AS (SELECT t.*, b.bag, b.c FROM bags b JOIN train t ON t.pid = b.pid, unnest(range(0, b.w)) AS u(copy))"""
 _half = f"{BOOST_RATE}e0"
 
+_scored_all = f"""WITH {_prep}, {_one}, {gnb_ctes('one', 'scaled', NB_FEATURES, SMOOTHING)}
+SELECT pid, round(p, 5) AS p, (p >= 0.5e0)::INTEGER AS pred FROM nb"""
+
 ORACLES = {
     "q_gnb_fit": f"WITH {_prep} " + " UNION ALL ".join(
         f"SELECT 0::INTEGER AS bag, {_label} AS class, count(*) AS n, {i}::INTEGER AS pos, '{c}' AS feature, "
@@ -255,8 +334,9 @@ ORACLES = {
     "q_bag_average": f"""WITH {S.PATIENT} SELECT pid, round(avg(
   1e0 / (1e0 + exp(-(age - 50e0) / 10e0 - ("sysBP" - 140e0) / (20e0 * b)))), 5) AS p
 FROM patient, range(1, 6) AS r(b) GROUP BY pid""",
-    "q_score": f"""WITH {_prep}, {_one}, {gnb_ctes('one', 'scaled', NB_FEATURES, SMOOTHING)}
-SELECT pid, round(p, 5) AS p, (p >= 0.5e0)::INTEGER AS pred FROM nb""",
+    "q_score": _scored_all,
+    "q_score_stream": _scored_all,
+    "q_bundle_score": _scored_all,
     "q_boost_weights": f"""WITH {S.PATIENT}, judged AS (
   SELECT pid, {_label}, ("sysBP" >= 160 AND age >= 50)::INTEGER AS prediction FROM patient),
 total AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (prediction <> {_label})::DOUBLE AS missed FROM judged),

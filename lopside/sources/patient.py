@@ -15,7 +15,11 @@ from lopside.schema import KEY, LABEL, RAW_FEATURES
 
 
 def patient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return patient_rows(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+
+
+def patient_rows(orders: DataFrame) -> DataFrame:
+    """Patient rows of a table, or a stream, of orders."""
     ok, ck = F.col("o_orderkey"), F.col("o_custkey")
     tp = F.floor("o_totalprice").cast("bigint")
     unless = lambda divisor, value: F.when(ok % divisor != 0, value)
