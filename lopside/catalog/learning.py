@@ -96,8 +96,8 @@ def score_stream(spark, d):
     parts = prepared(spark, d)
     model = gnb.fit_gnb(parts.part("train"), NB_FEATURES, LABEL, smoothing=SMOOTHING)
     bundle = Bundle(model, FEATURES, parts.medians, parts.scaler, 0.5)
-    source = f"{d}/orders.parquet"
-    orders = read_stream(spark, source, spark.read.parquet(source).schema)
+    schema = spark.read.parquet(f"{d}/orders.parquet").schema
+    orders = read_stream(spark, d, schema, names="orders.parquet")
     home = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     drained = stream_scores(
         patient_rows(orders).drop(LABEL), bundle, f"{home}/out", f"{home}/state"

@@ -114,6 +114,22 @@ def largest_remainder(counts: dict[int, int], total: int) -> dict[int, int]:
     return given
 
 
+def split_sizes(counts: dict[int, int], frac: float) -> dict[int, int]:
+    """Rows per class on the second side: ``ceil(frac * n)`` shared out."""
+    if frac <= 0:
+        return {c: 0 for c in counts}
+    # Rounded first: 0.2 * n in doubles can land just above a whole number.
+    total = math.ceil(round(frac * sum(counts.values()), 9))
+    return largest_remainder(counts, total)
+
+
+def _in_cuts(group: Column, digest: Column, key: Column, cuts: dict) -> Column:
+    chosen = F.lit(False)
+    for g, cut in cuts.items():
+        chosen = chosen | ((group == F.lit(g)) & within_cut(digest, key, cut))
+    return chosen
+
+
 def stratified_split(
     df: DataFrame, label: str | None, frac: float, seed: int, key: str,
     names: tuple[str, str] = ("train", "test"), column: str = "split",
@@ -130,15 +146,8 @@ def stratified_split(
     strata = df.withColumn("_g", F.col(label) if stratified else F.lit(0))
     strata = strata.withColumn("_d", seeded_hash(seed, key))
     counts = class_counts(strata, "_g")
-    # exact decimal arithmetic: 0.2 * n in doubles can land just above a whole number
-    total = math.ceil(round(frac * sum(counts.values()), 9))
-    targets = largest_remainder(counts, total)
-    cuts = hash_cuts(strata, "_g", "_d", key, counts, targets)
-    chosen = F.lit(False)
-    for g, cut in cuts.items():
-        chosen = chosen | (
-            (F.col("_g") == F.lit(g)) & within_cut(F.col("_d"), F.col(key), cut)
-        )
+    cuts = hash_cuts(strata, "_g", "_d", key, counts, split_sizes(counts, frac))
+    chosen = _in_cuts(F.col("_g"), F.col("_d"), F.col(key), cuts)
     return strata.withColumn(
         column, F.when(chosen, F.lit(second)).otherwise(F.lit(first))
     ).drop("_g", "_d")
@@ -147,29 +156,23 @@ def stratified_split(
 def three_way_split(
     df: DataFrame, label: str, test_frac: float, val_frac: float, seed: int, key: str
 ) -> DataFrame:
-    """``split`` is train, val or test; val is a share of what is not test."""
-    tagged = stratified_split(df, label, test_frac, seed, key, ("train", "test"), "_outer")
-    rest = tagged.where(F.col("_outer") == "train")
-    inner_cuts = _split_cuts(rest, label, val_frac, seed + 1, key)
-    digest = seeded_hash(seed + 1, key)
-    in_val = F.lit(False)
-    for g, cut in inner_cuts.items():
-        in_val = in_val | ((F.col(label) == F.lit(g)) & within_cut(digest, F.col(key), cut))
-    return tagged.withColumn(
-        "split",
-        F.when(F.col("_outer") == "test", F.lit("test"))
-        .when(in_val, F.lit("val")).otherwise(F.lit("train")),
-    ).drop("_outer")
-
-
-def _split_cuts(df, label, frac, seed, key):
-    if frac <= 0:
-        return {}
+    """``split`` is train, val or test; val is a share of what is not test.
+
+    The sizes of what is left after the test cut are known, so the classes are
+    counted once.
+    """
+    hashed = df.withColumns({"_d": seeded_hash(seed, key), "_e": seeded_hash(seed + 1, key)})
     counts = class_counts(df, label)
-    total = math.ceil(round(frac * sum(counts.values()), 9))
-    targets = largest_remainder(counts, total)
-    hashed = df.withColumn("_d", seeded_hash(seed, key))
-    return hash_cuts(hashed, label, "_d", key, counts, targets)
+    tested = split_sizes(counts, test_frac)
+    cuts = hash_cuts(hashed, label, "_d", key, counts, tested)
+    in_test = _in_cuts(F.col(label), F.col("_d"), F.col(key), cuts)
+    left = {c: n - tested[c] for c, n in counts.items()}
+    val_cuts = hash_cuts(
+        hashed.where(~in_test), label, "_e", key, left, split_sizes(left, val_frac)
+    )
+    in_val = _in_cuts(F.col(label), F.col("_e"), F.col(key), val_cuts)
+    tag = F.when(in_test, F.lit("test")).when(in_val, F.lit("val")).otherwise(F.lit("train"))
+    return hashed.withColumn("split", tag).drop("_d", "_e")
 
 
 def minority_class(counts: dict[int, int]) -> tuple[int, int]:

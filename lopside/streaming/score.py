@@ -14,10 +14,13 @@ from lopside.sources.bundle import Bundle
 
 def read_stream(
     spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
-    files_per_batch: int | None = None,
+    files_per_batch: int | None = None, names: str | None = None,
 ) -> DataFrame:
-    """A stream of files with a declared schema (streams never infer one)."""
+    """A stream of the files in a folder, with a declared schema (streams never
+    infer one). ``names`` is a pattern that file names must match."""
     reader = spark.readStream.schema(schema).format(fmt)
+    if names:
+        reader = reader.option("pathGlobFilter", names)
     if fmt == "csv":
         reader = reader.option("header", True)
     if files_per_batch:
