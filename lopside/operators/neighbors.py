@@ -76,7 +76,7 @@ def knn_join(
     kernel = _kernel(k, p, n_bags if weights else 1, projections, exclude_self)
     run = lambda routed: _run_blocks(routed, ref, kernel)
 
-    first = run(query.withColumn("block", F.col("home")))
+    first = run(query.withColumns({"block": F.col("home"), "bound": F.lit(float("inf"))}))
     if layout.total_blocks == 1:
         found = first
     else:
@@ -183,6 +183,9 @@ def _chunked(query: DataFrame, layout: _Layout, least: int, chunk_rows: int, p:
         allowed = np.flatnonzero(layout.counts)
     celled = _assign_cells(query, "x", layout.pivots, p, allowed).drop("reach")
     sizes = {r["cell"]: r["n"] for r in celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Smaller chunks while there are too few to occupy the cluster.
+    cores = spark.sparkContext.defaultParallelism
+    chunk_rows = min(chunk_rows, max(256, math.ceil(sum(sizes.values()) / (2 * cores))))
     chunks = [max(1, math.ceil(sizes.get(c, 0) / chunk_rows)) for c in range(len(layout.counts))]
     starts = np.concatenate([[0], np.cumsum(chunks)[:-1]])
     lookup = lambda values: F.get(F.array(*[F.lit(int(v)) for v in values]), F.col("cell"))
@@ -218,15 +221,16 @@ def _route(query: DataFrame, layout: _Layout, p: int, prune: bool) -> DataFrame:
                 ids = np.concatenate([blocks_of[c] for c in np.flatnonzero(keep[i])] or [blocks_of[0][:0]])
                 targets.append(ids[ids != home[i]])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("q"), batch.column("x"), batch.column("chunk"),
+                [batch.column("q"), batch.column("x"), batch.column("chunk"), pa.array(bound),
                  pa.array(targets, type=pa.list_(pa.int32()))],
-                names=["q", "x", "chunk", "targets"],
+                names=["q", "x", "chunk", "bound", "targets"],
             )
 
     q_type = query.schema["q"].dataType
     schema = T.StructType([
         T.StructField("q", q_type), T.StructField("x", T.ArrayType(T.DoubleType())),
-        T.StructField("chunk", T.IntegerType()), T.StructField("targets", T.ArrayType(T.IntegerType())),
+        T.StructField("chunk", T.IntegerType()), T.StructField("bound", T.DoubleType()),
+        T.StructField("targets", T.ArrayType(T.IntegerType())),
     ])
     routed = query.select("q", "x", "chunk", "home", "bound").mapInArrow(route, schema)
     return routed.withColumn("block", F.explode("targets")).drop("targets")
@@ -239,7 +243,7 @@ def _run_blocks(routed: DataFrame, ref: DataFrame, kernel) -> DataFrame:
     sent = ref.join(pairs, F.col("block") == F.col("to_block")).select(
         "to_chunk", "to_block", "r", "rx", "y", "bw"
     )
-    asked = routed.select("chunk", "block", "q", "x")
+    asked = routed.select("chunk", "block", "q", "x", "bound")
     schema = _result_schema(routed, ref)
     schema = T.StructType(schema.fields[:-1] + [T.StructField("bound", T.DoubleType())])
     run = kernel(schema)
@@ -277,6 +281,7 @@ def _kernel(k, p, n_bags, projections, exclude_self):
                 return empty
             qx, rx = _matrix(left.column("x")), _matrix(right.column("rx"))
             qk, rk = _keys(left.column("q")), _keys(right.column("r"))
+            limit = left.column("bound").to_numpy()
             y = right.column("y").to_numpy()
             w = _matrix(right.column("bw")).astype(np.int32)
             parts, bounds = [], np.zeros(len(qk))
@@ -286,7 +291,7 @@ def _kernel(k, p, n_bags, projections, exclude_self):
                 if projections is not None:
                     bag_q, bag_r = qx @ projections[bag], bag_r @ projections[bag]
                 rows, cols, dist = nearest_rows(
-                    bag_q, qk, bag_r, rk[member], k, p, exclude_self
+                    bag_q, qk, bag_r, rk[member], k, p, exclude_self, limit
                 )
                 found = np.bincount(rows, minlength=len(qk))
                 last = np.full(len(qk), np.inf)
@@ -315,9 +320,12 @@ def _kernel(k, p, n_bags, projections, exclude_self):
     return build
 
 
-def nearest_rows(qx, qk, rx, rk, k, p, exclude_self):
+def nearest_rows(qx, qk, rx, rk, k, p, exclude_self, limit):
     """Exact nearest rows as flat (query position, ref position, distance).
 
+    ``limit`` is a distance per query row beyond which nothing is wanted; where
+    every row has one, comparing replaces the search for the k-th smallest.
+
     Euclidean candidates come from a matrix product with a rounding margin and
     are then measured term by term; so distances do not depend on tiling, and
     none is lost to cancellation.
@@ -346,9 +354,13 @@ def nearest_rows(qx, qk, rx, rk, k, p, exclude_self):
             margin = np.zeros(len(q))
         if exclude_self:
             d[qk[start:start + tile][:, None] == rk[None, :]] = np.inf
-        kk = min(k, n_ref)
-        kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-        near = d <= (kth + 2.0 * margin)[:, None]
+        bound = limit[start:start + tile]
+        if np.isinf(bound).any():
+            kk = min(k, n_ref)
+            bound = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+        else:
+            bound = (bound * bound if p == 2 else bound) * (1.0 + SLACK)
+        near = d <= (bound + 2.0 * margin)[:, None]
         near &= ~np.isinf(d)
         rows, cols = np.nonzero(near)
         if p == 2:

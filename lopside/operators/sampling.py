@@ -208,8 +208,8 @@ def poisson_count(u: Column) -> Column:
     return chain.otherwise(F.lit(len(POISSON_CDF)))
 
 
-def bag_draws(key: str, seed: int, bag: Column) -> Column:
-    return poisson_count(hash_to_uniform(seeded_hash(seed, bag, F.col(key))))
+def bag_uniform(key: str, seed: int, bag: Column) -> Column:
+    return hash_to_uniform(seeded_hash(seed, bag, F.col(key)))
 
 
 def bootstrap(df: DataFrame, n_bags: int, seed: int, key: str, output: str = "draws") -> DataFrame:
@@ -219,7 +219,9 @@ def bootstrap(df: DataFrame, n_bags: int, seed: int, key: str, output: str = "dr
     rows, not exactly n.
     """
     bags = F.sequence(F.lit(0), F.lit(n_bags - 1))
-    return df.withColumn(output, F.transform(bags, lambda b: bag_draws(key, seed, b)))
+    # Two steps, so that the comparisons do not hash the key again each.
+    uniforms = F.transform(bags, lambda b: bag_uniform(key, seed, b))
+    return df.withColumn(output, F.transform(uniforms, poisson_count))
 
 
 def balanced_bags(

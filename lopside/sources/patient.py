@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from lopside.functions.hashing import hash_to_int, seeded_hash
 from lopside.schema import KEY, LABEL, RAW_FEATURES
+from lopside.sources.tables import spread
 
 
 def patient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patient_rows(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return patient_rows(spread(orders.select("o_orderkey", "o_custkey", "o_totalprice")))
 
 
 def patient_rows(orders: DataFrame) -> DataFrame:
@@ -54,7 +56,10 @@ def patient_rows(orders: DataFrame) -> DataFrame:
 
 def scored_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pid, y, p): a model-free score, for the metric operators."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = spread(
+        spark.read.parquet(f"{sf_dir}/orders.parquet")
+        .select("o_orderkey", "o_custkey", "o_totalprice")
+    )
     ck, tp = F.col("o_custkey"), F.floor("o_totalprice").cast("bigint")
     signal = (ck % 39) * 10 + (tp % 100) * 4 + (ck % 2) * 80
     noise = hash_to_int(seeded_hash(1, F.col("o_orderkey"))) % 400

@@ -64,3 +64,15 @@ def write_table(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.format(fmt).save(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when the input arrives in fewer splits than cores.
+
+    One small file is one split and would keep all narrow work on one core. At
+    scale there are many splits and this changes nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
