@@ -17,8 +17,8 @@ from lopside.session import get_spark
 HEADLINE = [
     "q_features", "q_medians", "q_split", "q_undersample", "q_bags", "q_prepared",
     "q_metrics_by_segment", "q_auc", "q_sweep", "q_eval_configs", "q_attach_params",
-    "q_mutual_info", "q_knn_l1", "q_knn_l2", "q_knn_vote", "q_smote", "q_enn", "q_tomek",
-    "q_score", "q_gnb_pipeline", "q_nb_search",
+    "q_mutual_info", "q_knn_l1", "q_knn_l2", "q_smote", "q_enn", "q_tomek",
+    "q_score", "q_gnb_pipeline",
 ]
 
 
