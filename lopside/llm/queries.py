@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lopside.llm import bpe, chat, license, lines, toxicity
+from lopside.llm import bpe, chat, decontaminate, license, lines, toxicity
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOXIC_AT = 0.7
@@ -78,6 +78,37 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan_licenses(_table(spark, sf_dir, "documents")).drop("places")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("tag", "hits")
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+bi AS (SELECT item_id, ws, least(len(ws), 13) AS l FROM b WHERE len(ws) > 0),
+bj AS (SELECT item_id, ws, l, unnest(range(0, len(ws) - l + 1)) AS i FROM bi),
+bw AS (SELECT DISTINCT item_id, l, array_to_string(ws[i + 1 : i + l], ' ') AS w FROM bj),
+di AS (SELECT doc_id, ws, l FROM d, (SELECT DISTINCT l FROM bw) WHERE len(ws) >= l),
+dj AS (SELECT doc_id, ws, l, unnest(range(0, len(ws) - l + 1)) AS i FROM di),
+dw AS (SELECT doc_id, l, i, array_to_string(ws[i + 1 : i + l], ' ') AS w FROM dj),
+hit AS (SELECT doc_id, i, l, item_id FROM dw JOIN bw USING (l, w)),
+words AS (SELECT doc_id, count(DISTINCT pos) AS n_hit
+          FROM (SELECT doc_id, unnest(range(i, i + l)) AS pos FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.ToxicityModel:
     return toxicity.train_toxicity(docs, _table(spark, sf_dir, "labels"), learn=remainder(3) != 1)
 
@@ -99,7 +130,8 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op4_chat_format": op4_chat_format,
     "op5_license_scan": op5_license_scan,
+    "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op9_bpe": op9_bpe,
 }
-ORACLES = {"op2_line_dedup": OP2_SQL, "op4_chat_format": OP4_SQL}
+ORACLES = {"op2_line_dedup": OP2_SQL, "op4_chat_format": OP4_SQL, "op6_decontamination": OP6_SQL}
