@@ -116,3 +116,13 @@ def shingles(column, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
         rows.append(those)
         keys.append(kernel.sequence_hash([words[at + i] for i in range(short)]))
     return distinct_pairs(np.concatenate(rows), np.concatenate(keys))
+
+
+def planes(values: np.ndarray) -> bytes:
+    """32-bit numbers by byte significance, so that small ones compress."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(body: bytes) -> np.ndarray:
+    raw = np.frombuffer(body, dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(raw.T).view("<u4").ravel()

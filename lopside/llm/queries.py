@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lopside.llm import bpe, chat, decontaminate, jaccard, license, lines, toxicity
+from lopside.llm import (
+    bpe, chat, covertree, decontaminate, jaccard, katz, license, lines, toxicity,
+)
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOXIC_AT = 0.7
@@ -145,11 +147,34 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return covertree.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_dot_product(q.v, x.v)::BIGINT AS score
+  FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.bpe_encode(docs, rank_file(), public_tokenizers.PATTERN, ids=False)
 
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(_table(spark, sf_dir, "documents"), remainder(10) != 0)
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_jaccard_join": op3_jaccard_join,
@@ -157,6 +182,9 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
+    "op8_top_k": op8_top_k,
     "op9_bpe": op9_bpe,
+    "op10_katz": op10_katz,
 }
-ORACLES = {"op2_line_dedup": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_decontamination": OP6_SQL}
+ORACLES = {"op2_line_dedup": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_decontamination": OP6_SQL,
+           "op8_top_k": OP8_SQL}
