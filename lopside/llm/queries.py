@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lopside.llm import (
-    bpe, chat, covertree, decontaminate, jaccard, katz, license, lines, toxicity,
+    bpe, chat, covertree, decontaminate, jaccard, katz, license, lines, suffix, toxicity,
 )
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -27,6 +27,31 @@ def remainder(modulus: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.substring_dedup(_table(spark, sf_dir, "documents"), spans=False)
+
+
+OP1_SQL = """
+WITH h AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+w AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM h WHERE length(h) >= 100),
+s AS (SELECT doc_id, i, md5_number(h[2 * i + 1 : 2 * i + 100]) AS s FROM w),
+f AS (SELECT s, min(doc_id) AS first FROM s GROUP BY s HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT doc_id, i FROM s JOIN f USING (s) WHERE first < doc_id),
+g AS (SELECT doc_id, i, max(i + 50) OVER (PARTITION BY doc_id ORDER BY i
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+n AS (SELECT doc_id, i, count(*) FILTER (reach IS NULL OR reach < i) OVER (
+        PARTITION BY doc_id ORDER BY i) AS run FROM g),
+u AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM n GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS p FROM u),
+t AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last,
+             string_agg(h[2 * p + 1 : 2 * a], '' ORDER BY a) AS kept
+      FROM k JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept || h[2 * last + 1 :], h))) AS kept_sha256
+FROM h LEFT JOIN t USING (doc_id)
+"""
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.line_dedup(_table(spark, sf_dir, "documents"))
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
@@ -176,6 +201,7 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_chat_format": op4_chat_format,
@@ -186,5 +212,5 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_katz": op10_katz,
 }
-ORACLES = {"op2_line_dedup": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_decontamination": OP6_SQL,
+ORACLES = {"op1_suffix_dedup": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_decontamination": OP6_SQL,
            "op8_top_k": OP8_SQL}
