@@ -181,7 +181,7 @@ def _postings(found: DataFrame, size: int) -> DataFrame:
     """(key, node, n, shareable, heavy): entries of the inverted lists."""
     about = ["node", "n", "shareable"]
     heavy = F.col("n") >= size
-    near = F.col("n") * 5 >= F.lit(size) * 4  # can be similar to a heavy set
+    near = F.col("n") >= -(-4 * size // 5)  # can be similar to a heavy set
     single = found.where(near).select(
         F.explode(F.slice("keys", F.lit(1), F.col("short"))).alias("key"), *about, heavy.alias("heavy"))
     pairs = F.expr(

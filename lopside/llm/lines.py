@@ -104,16 +104,16 @@ def _carry(flags: np.ndarray, tie: np.ndarray) -> np.ndarray:
     return flags[np.maximum.accumulate(source)]
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """Every column of ``docs`` with repeated lines taken out of ``text``, plus
-    ``n_lines`` and ``n_removed``.
+    two ``counts``: lines, and lines removed.
 
     What stays is joined by line ends, so blank lines stay. Texts that lose
     nothing (also null, empty, or of fewer than three solid lines) come back as
-    they were; a text can become empty but no row goes. Columns called
-    ``n_lines`` or ``n_removed`` are replaced.
+    they were; a text can become empty but no row goes. An empty table gives an
+    empty table. Columns called like ``counts`` are replaced.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    names = [c for c in docs.columns if c not in counts]
     repeats = repeated_windows(docs).groupBy("doc_id", "tag").agg(F.collect_set("at").alias("at"))
     repeats = repeats.select(F.col("doc_id").alias("repeat_id"), F.col("tag").alias("repeat_tag"), "at")
     # Other columns travel in a struct, where their names clash with nothing.
@@ -137,5 +137,5 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     final = {"doc_id": F.col("doc_id"), "text": F.when(cut, kept).otherwise(F.col("text")).alias("text")}
     return out.select(
         *[final[c] if c in final else F.col("carried")[c].alias(c) for c in names],
-        F.size("lines").cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+        F.size("lines").cast("bigint").alias(counts[0]),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias(counts[1]))
