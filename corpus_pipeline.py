@@ -17,21 +17,26 @@ from lopside.llm.queries import TOXIC_AT, rank_file, toxicity_model
 from lopside.session import materialize
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose noisy-or score is below the threshold stay."""
-    score = "toxicity_score"
-    while score in docs.columns:
-        score += "_"
+    score = _free(docs, "toxicity_score")
     scored = toxicity.score_toxicity(docs, toxicity_model(spark, sf_dir, docs), output=score)
     return scored.where(F.col(score) < TOXIC_AT).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, without its repeated lines; ``n_chars`` follows."""
-    out = lines.line_dedup(docs)
+    counts = _free(docs, "lines_before"), _free(docs, "lines_removed")
+    out = lines.line_dedup(docs, counts)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(
-            F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)
+            F.col(counts[1]) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)
         ).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
