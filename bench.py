@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from lopside.catalog import QUERIES
@@ -17,8 +18,8 @@ from lopside.session import get_spark
 HEADLINE = [
     "q_features", "q_medians", "q_split", "q_undersample", "q_bags", "q_prepared",
     "q_metrics_by_segment", "q_auc", "q_sweep", "q_eval_configs", "q_attach_params",
-    "q_mutual_info", "q_knn_l1", "q_knn_l2", "q_smote", "q_enn", "q_tomek",
-    "q_score", "q_gnb_pipeline",
+    "q_mutual_info", "q_knn_l1", "q_knn_l2", "q_knn_vote", "q_smote", "q_enn", "q_tomek",
+    "q_score", "q_gnb_pipeline", "q_nb_search",
 ]
 
 
@@ -28,7 +29,8 @@ def main() -> None:
     chosen = os.environ.get("BENCH_QUERIES")
     names = chosen.split(",") if chosen else HEADLINE
     spark = get_spark("bench", f"local[{cpus}]", **{
-        "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "12g",
+        "spark.sql.shuffle.partitions": cpus, "spark.lopside.input.partitions": cpus,
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"), "spark.driver.memory": "12g",
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
     })
     spark.sparkContext.setLogLevel("ERROR")

@@ -75,8 +75,12 @@ def predict(spark, d):
 
 
 def risk_table(spark, d):
-    scored = predicted(spark, d).join(patient(spark, d).select(KEY, "age", "sysBP"), KEY)
-    return M.risk_label(scored, [KEY, "age", "sysBP"])
+    # The features are columns of the scored rows, so nothing is joined.
+    orders = scored_patients(spark, d, ["o_custkey", "o_totalprice"])
+    rows = M.apply_threshold(orders, CUT).select(
+        KEY, "p", "pred", (F.col("o_custkey") % 39 + 32).cast("double").alias("age"),
+        (F.lit(95) + F.floor("o_totalprice").cast("bigint") % 100).cast("double").alias("sysBP"))
+    return M.risk_label(rows, [KEY, "age", "sysBP"])
 
 
 def confusion(spark, d):
@@ -94,10 +98,8 @@ def metrics_long(spark, d):
 
 def metrics_by_segment(spark, d):
     customers = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_mktsegment")
-    orders = spark.read.parquet(f"{d}/orders.parquet").select(
-        F.col("o_orderkey").alias(KEY), F.col("o_custkey").alias("c_custkey")
-    )
-    rows = predicted(spark, d).join(orders, KEY).join(customers, "c_custkey")
+    rows = M.apply_threshold(scored_patients(spark, d, ["o_custkey"]), CUT)
+    rows = rows.withColumnRenamed("o_custkey", "c_custkey").join(customers, "c_custkey")
     counted = M.binary_metrics(rows, by=BY_SEGMENT).join(M.roc_auc(rows, by=BY_SEGMENT), BY_SEGMENT)
     return rounded(counted, [*FIVE, "auc"])
 
@@ -119,16 +121,22 @@ def sweep(spark, d):
 
 def best_threshold(spark, d):
     """The best threshold on every family's own grid."""
-    scores = scored_patients(spark, d)
-    parts = [
-        M.best_threshold(M.threshold_sweep(scores, family_grid(f)), family_default(f))
-        .withColumn("family", F.lit(f))
+    # One sweep over all grids' thresholds; each family then takes its own.
+    every = sorted({t for f in GRIDS for t in family_grid(f)})
+    swept = M.threshold_sweep(scored_patients(spark, d), every)
+    families = F.array(*[
+        F.struct(F.lit(f).alias("family"), F.lit(float(family_default(f))).alias("default"),
+                 F.array(*[F.lit(float(t)) for t in family_grid(f)]).alias("grid"))
         for f in GRIDS
-    ]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return rounded(whole, ["threshold", "f1", "precision", "recall"])
+    ])
+    own = swept.withColumn("of", F.explode(families)).where(F.array_contains("of.grid", F.col("threshold")))
+    best = own.groupBy("of.family", "of.default").agg(
+        F.max_by(F.struct("threshold", "f1", "precision", "recall"),
+                 F.struct("f1", -F.col("threshold"))).alias("b"))
+    chosen = F.when(F.col("b.f1") == 0, F.col("default")).otherwise(F.col("b.threshold"))
+    return rounded(best.select(
+        "family", chosen.alias("threshold"), "b.f1", "b.precision", "b.recall"
+    ), ["threshold", "f1", "precision", "recall"])
 
 
 def best_possible(spark, d):
@@ -154,15 +162,22 @@ def grid_query(spark, d):
 
 
 def eval_configs(spark, d):
-    return rounded(grid_results(spark, d).select(*RESULT_COLUMNS), ["threshold", *RESULT_VALUES])
+    return shown(grid_results(spark, d).select(*RESULT_COLUMNS))
+
+
+def shown(results):
+    return rounded(results, ["threshold", *RESULT_VALUES])
 
 
 def top_configs(spark, d):
-    return K.top_configs(eval_configs(spark, d), 5)
+    return shown(K.top_configs(grid_results(spark, d).select(*RESULT_COLUMNS), 5))
 
 
 def best_per_strategy(spark, d):
-    return K.best_per_strategy(eval_configs(spark, d))
+    return shown(K.best_per_strategy(grid_results(spark, d).select(*RESULT_COLUMNS)))
+
+
+BOARD_VALUES = ["threshold", "accuracy", "precision", "recall", "f1", "auc"]
 
 
 def board(spark, d):
@@ -176,21 +191,19 @@ def board(spark, d):
         .join(M.roc_auc(scores, by=["family"]), "family")
         .withColumns({"strategy": F.lit("rule"), "threshold": bounds[F.col("family")]})
     )
-    return rounded(
-        K.compare_models(measured), ["threshold", "accuracy", "precision", "recall", "f1", "auc"]
-    )
+    return K.compare_models(measured)
 
 
 def leaderboard(spark, d):
-    return K.rank_board(board(spark, d))
+    return rounded(K.rank_board(board(spark, d)), BOARD_VALUES)
 
 
 def winners(spark, d):
-    return K.category_winners(board(spark, d))
+    return rounded(K.category_winners(board(spark, d)), ["value"])
 
 
 def report(spark, d):
-    built = build_report(board(spark, d), "2024-01-01T00:00:00", ["rules on patient"])
+    built = build_report(rounded(board(spark, d), BOARD_VALUES), "2024-01-01T00:00:00", ["rules on patient"])
     return report_rows(built)
 
 
@@ -240,8 +253,8 @@ _results = f"""{_rule_ctes(_grid_rules)}, names(id, age, sbp, male) AS (VALUES {
 {S.sweep_ctes('scores', 'sw', family_grid('dt'), 'id')},
 {S.best_ctes('sw', 'best', 0.5, 'id')}, {S.auc_ctes('scores', 'area', 'id')},
 results AS (
-  SELECT best.id::INTEGER AS config_id, 'age' || names.age AS strategy, round(threshold, 6) AS threshold,
-    round(f1, 6) AS val_f1, round("precision", 6) AS val_prec, round(recall, 6) AS val_rec, round(auc, 6) AS val_auc
+  SELECT best.id::INTEGER AS config_id, 'age' || names.age AS strategy, threshold,
+    f1 AS val_f1, "precision" AS val_prec, recall AS val_rec, auc AS val_auc
   FROM best JOIN area ON area.id = best.id JOIN names ON names.id = best.id)"""
 _bounds = " ".join(f"WHEN '{f}' THEN {family_default(f)!r}e0" for f in FAMILY_RULES)
 _order = " ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(K.FAMILY_ORDER, start=1))
@@ -252,9 +265,12 @@ cells AS (SELECT id, {S.CELLS} FROM (
 board AS (
   SELECT (CASE cells.id {_order} END)::INTEGER AS pos, cells.id AS family, 'rule' AS strategy,
     CASE cells.id {_bounds} END AS threshold,
-    {S.metrics_select(('accuracy', 'precision', 'recall', 'f1'))}, round(auc, 6) AS auc
+    {S.metrics_select(('accuracy', 'precision', 'recall', 'f1'), 17)}, auc
   FROM cells JOIN area ON area.id = cells.id)"""
 
+_shown = "config_id, strategy, " + ", ".join(f"round({c}, 6) AS {c}" for c in ["threshold", *RESULT_VALUES])
+_board_shown = "pos, family, strategy, " + ", ".join(f'round({S.q(c)}, 6) AS {S.q(c)}' for c in BOARD_VALUES)
+
 _segment = f"""{S.SCORED}, {_pred}, seg AS (
   SELECT c_mktsegment AS g, y, p, pred FROM predicted JOIN orders ON o_orderkey = pid
   JOIN customer ON c_custkey = o_custkey),
@@ -316,14 +332,14 @@ SELECT tn, fp, fn, tp, {S.metrics_select()}, round(auc, 6) AS auc, {CUT}e0 AS th
     "q_grid": f"""WITH {_rule_ctes(_grid_rules)}, names(id, age, sbp, male) AS (VALUES {_names})
 SELECT names.id::INTEGER AS config_id, 'linear' AS strategy, names.age, names.sbp, names.male,
   count(*) FILTER (p >= 0.5e0) AS n_high FROM scores JOIN names ON names.id = scores.id GROUP BY ALL""",
-    "q_eval_configs": f"WITH {_results} SELECT * FROM results",
-    "q_top_configs": f"WITH {_results} SELECT * FROM results ORDER BY val_f1 DESC, config_id LIMIT 5",
-    "q_best_per_strategy": f"""WITH {_results} SELECT * EXCLUDE (rn) FROM (
+    "q_eval_configs": f"WITH {_results} SELECT {_shown} FROM results",
+    "q_top_configs": f"WITH {_results} SELECT {_shown} FROM results ORDER BY results.val_f1 DESC, config_id LIMIT 5",
+    "q_best_per_strategy": f"""WITH {_results} SELECT {_shown} FROM (
   SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY val_f1 DESC, config_id) AS rn FROM results) WHERE rn = 1""",
-    "q_leaderboard": f"WITH {_board} SELECT *, (row_number() OVER (ORDER BY f1 DESC, pos))::INTEGER AS rank FROM board",
+    "q_leaderboard": f"WITH {_board} SELECT {_board_shown}, (row_number() OVER (ORDER BY board.f1 DESC, pos))::INTEGER AS rank FROM board",
     "q_winners": f"WITH {_board}, long AS ("
     + " UNION ALL ".join(f"SELECT '{m}' AS metric, pos, family, {S.q(m)} AS value FROM board" for m in K.BOARD_METRICS)
-    + """) SELECT metric, family, value FROM (
+    + """) SELECT metric, family, round(value, 6) AS value FROM (
   SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, pos) AS rn FROM long) WHERE rn = 1""",
-    "q_report": f"WITH {_board} SELECT '2024-01-01T00:00:00' AS training_timestamp, * FROM board",
+    "q_report": f"WITH {_board} SELECT '2024-01-01T00:00:00' AS training_timestamp, {_board_shown} FROM board",
 }

@@ -18,9 +18,14 @@ METRICS = ["accuracy", "precision", "recall", "f1", "mcc"]
 
 
 def apply_threshold(df: DataFrame, t: float | Column, score: str = "p", output: str = "pred") -> DataFrame:
-    """``p >= t`` as 0/1; a missing score predicts nothing."""
+    """``p >= t`` as 0/1; a missing score (null or NaN) predicts nothing."""
     bound = t if isinstance(t, Column) else F.lit(float(t))
-    return df.withColumn(output, (F.col(score) >= bound).cast("int"))
+    return df.withColumn(output, (known_score(F.col(score)) >= bound).cast("int"))
+
+
+def known_score(score: Column) -> Column:
+    """The score, or null where it is NaN (which Spark holds to be the largest)."""
+    return F.when(~F.isnan(score), score)
 
 
 def risk_label(df: DataFrame, features: list[str], pred: str = "pred", score: str = "p") -> DataFrame:

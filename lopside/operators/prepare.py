@@ -13,11 +13,6 @@ from pyspark.sql import functions as F
 from lopside.operators.quantiles import exact_quantiles, long_form
 from lopside.sources.tables import check_inputs
 
-# Parameters are inlined as literals up to this many columns, beyond it they
-# are attached as one broadcast row.
-INLINE_LIMIT = 500
-
-
 def nan_to_null(df: DataFrame, cols: list[str]) -> DataFrame:
     """Read NaN as missing, so that comparisons and averages behave."""
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in cols})
@@ -108,12 +103,12 @@ def class_distribution(df: DataFrame, label: str, by: list[str] | None = None) -
 
 
 def class_counts(df: DataFrame, label: str) -> dict[int, int]:
-    """Class sizes on the driver (one small aggregate)."""
-    return {
-        int(r[label]): r["n"]
-        for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
-        if r[label] is not None
-    }
+    """Class sizes on the driver (one small aggregate); a null label is an error."""
+    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
+    missing = sum(r["n"] for r in rows if r[label] is None)
+    if missing:
+        raise ValueError(f"{missing} rows have no {label}")
+    return {int(r[label]): r["n"] for r in rows}
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -163,19 +158,11 @@ def scaled_columns(
 def scale(df: DataFrame, scaler: DataFrame | dict[str, tuple[float, float]]) -> DataFrame:
     """``(x - mean) / scale`` on every fitted column.
 
-    A dict is inlined as literals. A scaler table is read to the driver when it
-    is short; a wide one is attached as a single broadcast row, so the plan
-    stays small.
+    The parameters are literals of the plan: one entry per feature, whether
+    they come as a dict or are read from a scaler table.
     """
-    if isinstance(scaler, dict):
-        return df.withColumns(scaled_columns(scaler))
-    params = scaler_params(scaler)
-    if len(params) <= INLINE_LIMIT:
-        return df.withColumns(scaled_columns(params))
-    return attach_params(df, scaler).withColumns({
-        c: (F.col(c).cast("double") - F.col("param_mean")[c]) / F.col("param_scale")[c]
-        for c in params
-    }).drop("param_mean", "param_scale")
+    params = scaler if isinstance(scaler, dict) else scaler_params(scaler)
+    return df.withColumns(scaled_columns(params))
 
 
 def attach_params(df: DataFrame, scaler: DataFrame) -> DataFrame:
@@ -187,11 +174,13 @@ def attach_params(df: DataFrame, scaler: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(one_row))
 
 
-def assemble(df: DataFrame, names: list[str], output: str = "features") -> DataFrame:
-    """Columns to one vector in fixed order; a null is an error."""
+def assemble(
+    df: DataFrame, names: list[str], output: str = "features", missing: str = "error"
+) -> DataFrame:
+    """Columns to one vector in fixed order; a null is an error, or NaN to ``keep``."""
     check_inputs(df, names)
     return VectorAssembler(
-        inputCols=names, outputCol=output, handleInvalid="error"
+        inputCols=names, outputCol=output, handleInvalid=missing
     ).transform(df)
 
 

@@ -3,8 +3,9 @@
 All of them keep "the first m rows of a group in seeded hash order". Ranking a
 whole class in one window would put it in one task, so the rank is turned into
 a cut point: a histogram over leading hash digits finds the bucket that holds
-rank m, and only that bucket (about ``BUCKET_ROWS`` rows) is ranked. With the
-cut point known, choosing rows is a narrow comparison with no shuffle.
+rank m, deeper digits of that bucket narrow it down, and only a bucket of at most
+``BUCKET_ROWS`` rows is ranked. With the cut point known, choosing rows is a narrow
+comparison with no shuffle.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from lopside.functions.hashing import hash_to_uniform, seeded_hash
 from lopside.operators.prepare import class_counts
 
 BUCKET_ROWS = 50_000
+DIGITS = 3  # hash digits per histogram: at most 4096 buckets of a group
 EVERYTHING = "~"  # sorts after every hex digest
 
 
@@ -55,30 +57,38 @@ def hash_cuts(
     if not open_groups:
         return cuts
 
-    largest = max(sizes[g] for g in open_groups)
-    digits = max(0, math.ceil(math.log(max(largest / BUCKET_ROWS, 1), 16)))
     wanted = df.where(F.col(group).isin(list(open_groups))).select(
         F.col(group).alias("g"), F.col(digest).alias("d"), F.col(key).alias("k")
     )
     before = {g: 0 for g in open_groups}
-    if digits:
-        wanted = wanted.withColumn("bucket", F.substring("d", 1, digits))
-        histogram = wanted.groupBy("g", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    prefix = {g: "" for g in open_groups}
+    held = dict.fromkeys(open_groups, BUCKET_ROWS + 1)
+    inside = wanted
+    # Every cut goes through a histogram; buckets still too full are split again.
+    for depth in range(DIGITS, 33, DIGITS):
+        if max(held.values()) <= BUCKET_ROWS:
+            break
+        split = {g for g in open_groups if held[g] > BUCKET_ROWS}
+        inside = wanted.where(_starts(prefix))
+        histogram = (
+            inside.where(F.col("g").isin(list(split))).withColumn("bucket", F.substring("d", 1, depth))
+            .groupBy("g", "bucket").agg(F.count(F.lit(1)).alias("n"))
+        )
         upto = F.sum("n").over(
             Window.partitionBy("g").orderBy("bucket")
             .rowsBetween(Window.unboundedPreceding, 0)
         )
-        target = _case("g", open_groups)
+        target = _case("g", {g: open_groups[g] - before[g] for g in split})
         holding = (
             histogram.withColumn("upto", upto)
             .where((F.col("upto") >= target) & (F.col("upto") - F.col("n") < target))
             .collect()
         )
-        condition = F.lit(False)
         for r in holding:
-            before[r["g"]] = r["upto"] - r["n"]
-            condition = condition | ((F.col("g") == F.lit(r["g"])) & (F.col("bucket") == r["bucket"]))
-        wanted = wanted.where(condition)
+            g = r["g"]
+            before[g] += r["upto"] - r["n"]
+            prefix[g], held[g] = r["bucket"], r["n"]
+    wanted = wanted.where(_starts(prefix))
     rank = F.row_number().over(Window.partitionBy("g").orderBy("d", "k"))
     at = _case("g", {g: t - before[g] for g, t in open_groups.items()})
     for r in wanted.withColumn("rank", rank).where(F.col("rank") == at).collect():
@@ -86,6 +96,14 @@ def hash_cuts(
     return cuts
 
 
+def _starts(prefix: dict) -> Column:
+    """Rows whose digest starts with their group's prefix."""
+    found = F.lit(False)
+    for g, p in prefix.items():
+        found = found | ((F.col("g") == F.lit(g)) & F.col("d").startswith(p))
+    return found
+
+
 def _case(column: str, values: dict) -> Column:
     items = list(values.items())
     chain = F.when(F.col(column) == F.lit(items[0][0]), F.lit(items[0][1]))
@@ -162,7 +180,7 @@ def three_way_split(
     counted once.
     """
     hashed = df.withColumns({"_d": seeded_hash(seed, key), "_e": seeded_hash(seed + 1, key)})
-    counts = class_counts(df, label)
+    counts = class_counts(df, label)  # fails on a null label
     tested = split_sizes(counts, test_frac)
     cuts = hash_cuts(hashed, label, "_d", key, counts, tested)
     in_test = _in_cuts(F.col(label), F.col("_d"), F.col(key), cuts)
@@ -196,8 +214,17 @@ def undersample(df: DataFrame, label: str, seed: int, key: str) -> DataFrame:
     return hashed.where(keep).drop("_d")
 
 
-# Cumulative Poisson(1) probabilities for counts 0, 1, ... 5.
-POISSON_CDF = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582]
+def _poisson_cdf() -> list[float]:
+    """Cumulative Poisson(1) probabilities up to the resolution of the uniform
+    numbers (32 bits): no draw they can make is cut off."""
+    bounds, term = [], math.exp(-1.0)
+    while not bounds or 1.0 - bounds[-1] >= 2.0**-32:
+        bounds.append(sum(bounds[-1:]) + term)
+        term /= len(bounds)
+    return bounds
+
+
+POISSON_CDF = _poisson_cdf()
 
 
 def poisson_count(u: Column) -> Column:

@@ -56,7 +56,7 @@ def _save_model(model, spark: SparkSession, path: str, mode: str) -> dict:
         return {"features": model.features, "models": _save_ml(model.models, path, mode)}
     if isinstance(model, BoostedTrees):
         return {
-            "features": model.features, "says": model.says,
+            "features": model.features, "says": model.says, "rounds": model.rounds,
             "models": _save_ml(model.trees, path, mode),
         }
     if isinstance(model, EasyEnsemble):
@@ -110,7 +110,8 @@ def _load_model(about: dict, spark: SparkSession, path: str):
     if kind == "ModelBags":
         return ModelBags(about["features"], _load_ml(about["models"], path))
     if kind == "BoostedTrees":
-        return BoostedTrees(about["features"], _load_ml(about["models"], path), about["says"])
+        trees = _load_ml(about["models"], path)
+        return BoostedTrees(about["features"], trees, about["says"], about.get("rounds"))
     if kind == "EasyEnsemble":
         members = [
             BoostedTrees(m["features"], _load_ml(m["models"], f"{path}/member={b}"), m["says"])

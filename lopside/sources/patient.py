@@ -54,8 +54,9 @@ def patient_rows(orders: DataFrame) -> DataFrame:
     )
 
 
-def scored_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pid, y, p): a model-free score, for the metric operators."""
+def scored_patients(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
+    """(pid, y, p, and order columns to ``keep``): a model-free score, for the
+    metric operators."""
     orders = spread(
         spark.read.parquet(f"{sf_dir}/orders.parquet")
         .select("o_orderkey", "o_custkey", "o_totalprice")
@@ -67,4 +68,5 @@ def scored_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").cast("bigint").alias(KEY),
         F.when(signal + noise >= 840, 1).otherwise(0).cast("int").alias("y"),
         F.round(signal.cast("double") / F.lit(860.0), 4).alias("p"),
+        *(keep or []),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -24,13 +25,12 @@ def check_inputs(df: DataFrame, required: Iterable[str]) -> DataFrame:
 
 def check_path(spark: SparkSession, path: str) -> str:
     """Fail early when nothing lies at ``path`` (any Hadoop file system)."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    if target.getFileSystem(conf).globStatus(target) is None or not len(
-        target.getFileSystem(conf).globStatus(target)
-    ):
-        raise FileNotFoundError(path)
+    try:
+        spark.read.format("binaryFile").load(path)  # lists the path, reads nothing
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(path) from None
+        raise
     return path
 
 
@@ -67,12 +67,11 @@ def write_table(
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core when the input arrives in fewer splits than cores.
+    """Deal rows over as many partitions as the caller's session asks for.
 
-    One small file is one split and would keep all narrow work on one core. At
-    scale there are many splits and this changes nothing.
+    One small file is one split and keeps all narrow work on one core. A caller
+    who reads such files sets ``spark.lopside.input.partitions``; by default rows stay
+    as they were read.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    wanted = df.sparkSession.conf.get("spark.lopside.input.partitions", None)
+    return df if wanted is None or df.isStreaming else df.repartition(int(wanted))

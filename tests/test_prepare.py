@@ -52,8 +52,7 @@ def test_constant_column_keeps_scale_one(spark):
     assert P.scale(column(spark, [9.0]), params).first()["v"] == 4.0
 
 
-def test_wide_scaler_attaches_as_one_row(spark, monkeypatch):
-    monkeypatch.setattr(P, "INLINE_LIMIT", 0)
+def test_scaler_table_scales_like_its_parameters(spark):
     df = column(spark, [1.0, 3.0])
     got = [r["v"] for r in P.scale(df, P.fit_scaler(df, ["v"])).collect()]
     assert sorted(got) == [-1.0, 1.0]

@@ -72,3 +72,32 @@ def test_bootstrap_draws_look_poisson(rows):
 def test_one_class_is_refused(rows):
     with pytest.raises(ValueError, match="two classes"):
         R.undersample(rows.where(F.col(LABEL) == 0), LABEL, 1, KEY)
+
+
+def test_poisson_draws_reach_the_resolution_of_the_uniform():
+    from lopside.operators.sampling import POISSON_CDF
+
+    assert 1 - POISSON_CDF[-1] < 2.0**-32 <= 1 - POISSON_CDF[-2]
+
+
+def test_null_labels_are_an_error(spark):
+    import pytest
+
+    from lopside.operators.sampling import three_way_split
+
+    rows = spark.createDataFrame([(1, 0), (2, 1), (3, None)], "pid int, y int")
+    with pytest.raises(ValueError, match="1 rows"):
+        three_way_split(rows, "y", 0.2, 0.2, 1, "pid")
+
+
+def test_cuts_descend_into_full_buckets(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lopside.operators import sampling
+
+    monkeypatch.setattr(sampling, "BUCKET_ROWS", 2)
+    monkeypatch.setattr(sampling, "DIGITS", 1)
+    rows = spark.range(1000).select(F.col("id").alias("pid"), (F.col("id") % 5 == 0).cast("int").alias("y"))
+    got = {r["pid"] for r in sampling.undersample(rows, "y", 7, "pid").where("y = 0").collect()}
+    ranked = rows.where("y = 0").orderBy(sampling.seeded_hash(7, "pid"), "pid").limit(200)
+    assert got == {r["pid"] for r in ranked.collect()}
