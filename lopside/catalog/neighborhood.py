@@ -41,9 +41,9 @@ def split_vectors(spark, d):
     return three_way_split(patient_vectors(spark, d), LABEL, 0.2, 0.15, SEED, KEY)
 
 
-def nearest(spark, d, p):
+def nearest(spark, d, p, **layout):
     rows = embedded(spark, d)
-    found = knn_join(rows, rows, 5, p, "vec_id", label="y", exclude_self=True)
+    found = knn_join(rows, rows, 5, p, "vec_id", label="y", exclude_self=True, **layout)
     return rounded(found.select("q", "r", "dist", "y", "rank"), ["dist"])
 
 
@@ -55,6 +55,15 @@ def knn_l2(spark, d):
     return nearest(spark, d, 2)
 
 
+def knn_blocks_l1(spark, d):
+    """Many small blocks and chunks, as a large reference has."""
+    return nearest(spark, d, 1, block_rows=32, chunk_rows=64)
+
+
+def knn_blocks_l2(spark, d):
+    return nearest(spark, d, 2, block_rows=32, chunk_rows=64)
+
+
 def votes(spark, d, weighting):
     rows = split_vectors(spark, d)
     near = knn_join(
@@ -137,6 +146,8 @@ def select_k(spark, d):
 QUERIES = {
     "q_knn_l1": knn_l1,
     "q_knn_l2": knn_l2,
+    "q_knn_blocks_l1": knn_blocks_l1,
+    "q_knn_blocks_l2": knn_blocks_l2,
     "q_knn_vote": knn_vote,
     "q_knn_weighted": knn_weighted,
     "q_bag_knn": bag_knn,
@@ -225,6 +236,8 @@ info AS (
 ORACLES = {
     "q_knn_l1": f"WITH {near_embedded(_L1, 5)} SELECT q, r, round(dist, 6) AS dist, y, rank::INTEGER AS rank FROM near",
     "q_knn_l2": f"WITH {near_embedded(_L2, 5)} SELECT q, r, round(dist, 6) AS dist, y, rank::INTEGER AS rank FROM near",
+    "q_knn_blocks_l1": f"WITH {near_embedded(_L1, 5)} SELECT q, r, round(dist, 6) AS dist, y, rank::INTEGER AS rank FROM near",
+    "q_knn_blocks_l2": f"WITH {near_embedded(_L2, 5)} SELECT q, r, round(dist, 6) AS dist, y, rank::INTEGER AS rank FROM near",
     "q_knn_vote": f"WITH {_taken} SELECT q, k, round(avg(y), 6) AS p FROM taken GROUP BY q, k",
     "q_knn_weighted": f"""WITH {_taken} SELECT q, k, round(CASE WHEN min(closest) = 0
   THEN sum(y) FILTER (dist = 0)::DOUBLE / count(*) FILTER (dist = 0)

@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from lopside.functions.hashing import seeded_hash
 
 BLOCK_ROWS = 32_768  # rows of one reference block: 10 MB at 40 columns
-CHUNK_ROWS = 8_192
-MAX_PIVOTS = 256
+CHUNK_ROWS = 2_048
+MIN_PIVOTS = 4  # so that small inputs are cut, bounded and routed as large ones are
 TILE_CELLS = 2_000_000  # distances held at once inside a kernel
 SLACK = 1e-9
 
@@ -45,10 +45,6 @@ class _Layout:
     first_block: np.ndarray
     blocks: np.ndarray
 
-    @property
-    def total_blocks(self) -> int:
-        return int(self.blocks.sum())
-
 
 def knn_join(
     query: DataFrame, ref: DataFrame, k: int, p: int = 2, key: str = "pid",
@@ -77,12 +73,9 @@ def knn_join(
     run = lambda routed: _run_blocks(routed, ref, kernel)
 
     first = run(query.withColumns({"block": F.col("home"), "bound": F.lit(float("inf"))}))
-    if layout.total_blocks == 1:
-        found = first
-    else:
-        bounds = first.groupBy("q").agg(F.max("bound").alias("bound"))
-        routed = _route(query.join(bounds, "q", "left"), layout, p, prune=projections is None)
-        found = first.unionByName(run(routed))
+    bounds = first.groupBy("q").agg(F.max("bound").alias("bound"))
+    routed = _route(query.join(bounds, "q", "left"), layout, p, prune=projections is None)
+    found = first.unionByName(run(routed))
     order = Window.partitionBy("q", "bag").orderBy("dist", "r")
     return (
         found.drop("bound").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -93,22 +86,19 @@ def _lay_out(ref: DataFrame, block_rows: int, p: int):
     n = ref.count()
     if n == 0:
         return ref, None
-    n_pivots = min(MAX_PIVOTS, math.ceil(n / block_rows))
-    if n_pivots == 1:
-        pivots = None
-        celled = ref.withColumns({"cell": F.lit(0), "reach": F.lit(0.0)})
-        stats = {0: (n, 0.0, math.inf)}
-    else:
-        picked = ref.orderBy(seeded_hash(7, F.col("r")), "r").limit(n_pivots).select("rx")
-        pivots = np.array([row["rx"] for row in picked.collect()], dtype=float)
-        celled = _assign_cells(ref, "rx", pivots, p)
-        stats = {
-            row["cell"]: (row["n"], row["near"], row["far"])
-            for row in celled.groupBy("cell").agg(
-                F.count(F.lit(1)).alias("n"),
-                F.min("reach").alias("near"), F.max("reach").alias("far"),
-            ).collect()
-        }
+    # Cells get finer as the reference grows; beyond the square root, placing a
+    # row would cost more than the pruning saves.
+    n_pivots = min(n, max(MIN_PIVOTS, min(math.ceil(n / block_rows), max(256, math.isqrt(n)))))
+    picked = ref.orderBy(seeded_hash(7, F.col("r")), "r").limit(n_pivots).select("rx")
+    pivots = np.array([row["rx"] for row in picked.collect()], dtype=float)
+    celled = _assign_cells(ref, "rx", pivots, p)
+    stats = {
+        row["cell"]: (row["n"], row["near"], row["far"])
+        for row in celled.groupBy("cell").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("reach").alias("near"), F.max("reach").alias("far"),
+        ).collect()
+    }
     cells = range(n_pivots)
     counts = np.array([stats.get(c, (0, 0.0, 0.0))[0] for c in cells])
     near = np.array([stats.get(c, (0, 0.0, 0.0))[1] for c in cells])
@@ -116,8 +106,6 @@ def _lay_out(ref: DataFrame, block_rows: int, p: int):
     blocks = np.ceil(counts / block_rows).astype(int)
     first = np.concatenate([[0], np.cumsum(blocks)[:-1]]).astype(int)
     layout = _Layout(pivots, counts, near, far, first, blocks)
-    if layout.total_blocks == 1:
-        return celled.select("r", "rx", "y", "bw", F.lit(0).alias("block")), layout
     starts = F.array(*[F.lit(int(b)) for b in first])
     sizes = F.array(*[F.lit(int(max(b, 1))) for b in blocks])
     block = F.get(starts, F.col("cell")) + F.pmod(F.xxhash64("r"), F.get(sizes, F.col("cell")))
@@ -171,21 +159,11 @@ def _assign_cells(df: DataFrame, vector: str, pivots: np.ndarray, p: int, allowe
 
 def _chunked(query: DataFrame, layout: _Layout, least: int, chunk_rows: int, p: int) -> DataFrame:
     """Add ``chunk`` (a bounded group of query rows) and its ``home`` block."""
-    spark = query.sparkSession
-    if layout.total_blocks == 1:
-        n = query.count()
-        spread = max(spark.sparkContext.defaultParallelism, math.ceil(n / chunk_rows))
-        return query.withColumns({
-            "chunk": F.pmod(F.xxhash64("q"), F.lit(spread)).cast("int"), "home": F.lit(0),
-        })
     allowed = np.flatnonzero(layout.counts >= least)
     if not len(allowed):
         allowed = np.flatnonzero(layout.counts)
     celled = _assign_cells(query, "x", layout.pivots, p, allowed).drop("reach")
     sizes = {r["cell"]: r["n"] for r in celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # Smaller chunks while there are too few to occupy the cluster.
-    cores = spark.sparkContext.defaultParallelism
-    chunk_rows = min(chunk_rows, max(256, math.ceil(sum(sizes.values()) / (2 * cores))))
     chunks = [max(1, math.ceil(sizes.get(c, 0) / chunk_rows)) for c in range(len(layout.counts))]
     starts = np.concatenate([[0], np.cumsum(chunks)[:-1]])
     lookup = lambda values: F.get(F.array(*[F.lit(int(v)) for v in values]), F.col("cell"))
@@ -198,9 +176,7 @@ def _chunked(query: DataFrame, layout: _Layout, least: int, chunk_rows: int, p:
 
 def _route(query: DataFrame, layout: _Layout, p: int, prune: bool) -> DataFrame:
     """Send each query row to every block that may hold a nearer neighbour."""
-    blocks_of = [
-        np.arange(f, f + b, dtype=np.int32) for f, b in zip(layout.first_block, layout.blocks)
-    ]
+    cell_of_block = np.repeat(np.arange(len(layout.blocks)), layout.blocks)
 
     def route(batches):
         for batch in batches:
@@ -216,13 +192,13 @@ def _route(query: DataFrame, layout: _Layout, p: int, prune: bool) -> DataFrame:
                 keep[:] = True
             keep &= layout.counts > 0
             home = batch.column("home").to_numpy(zero_copy_only=False)
-            targets = []
-            for i in range(n):
-                ids = np.concatenate([blocks_of[c] for c in np.flatnonzero(keep[i])] or [blocks_of[0][:0]])
-                targets.append(ids[ids != home[i]])
+            sent = keep[:, cell_of_block]
+            sent[np.arange(n), home] = False
+            ends = np.concatenate([[0], np.cumsum(sent.sum(axis=1))]).astype(np.int32)
+            targets = pa.ListArray.from_arrays(
+                pa.array(ends), pa.array(np.nonzero(sent)[1].astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("q"), batch.column("x"), batch.column("chunk"), pa.array(bound),
-                 pa.array(targets, type=pa.list_(pa.int32()))],
+                [batch.column("q"), batch.column("x"), batch.column("chunk"), pa.array(bound), targets],
                 names=["q", "x", "chunk", "bound", "targets"],
             )
 
