@@ -15,10 +15,11 @@ at least ``o = ceil(4/9 (n + m))`` shingles, so they share one of the first
 The boundary is the size at which enumerating and scanning cost least in sum.
 Shingles of one class only are never sent: they cannot be shared.
 
-A list is not paired up. Its members are first compared with its first one;
-most lists are then one component. What is left, members of different
-components of one list, is compared directly, as sizes and the numbers of
-shareable shingles allow. No link between components is lost.
+A list is not paired up. Its members are first compared with one of them, that
+shares most of its shingles; most lists are then one component. What is left,
+members of different components of one list, is compared directly, as far as
+sizes, numbers of shareable shingles and bit sketches allow a similarity of 0.8
+(all three never exclude a pair that has it). No link between components is lost.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from lopside.llm.components import connected_components
 from lopside.session import materialize
 
 U64 = np.uint64
+SKETCH = 1024  # bits of a set's sketch, a power of two
 
 
 def _sets(column):
@@ -115,7 +117,7 @@ def _answer(key, table):
 
 
 _CANDIDATE = ("node bigint, n bigint, shareable bigint, short int, scan double, keys array<bigint>, "
-              "members binary")
+              "members binary, bits array<bigint>")
 
 
 def _candidates(docs, told):
@@ -129,7 +131,8 @@ def _candidates(docs, told):
     r, k, f = row[order], shingle[order], df[order]
     starts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, int)
     ends = np.append(starts[1:], len(r))
-    out = [[] for _ in range(7)]
+    out = [[] for _ in range(8)]
+    slot = (k >> U64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
     for a, b in zip(starts.tolist(), ends.tolist()):
         n = b - a
         overlap = -(-4 * n // 5)
@@ -148,8 +151,12 @@ def _candidates(docs, told):
         out[4].append(float(f[first:short].sum()) if short > first else 0.0)
         out[5].append(prefix.view(np.int64))
         out[6].append(np.sort(k[first:b]).astype("<u8").tobytes())
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.binary()]
-    names = ["node", "n", "shareable", "short", "scan", "keys", "members"]
+        bits = np.zeros(SKETCH, dtype=bool)
+        bits[slot[a:b]] = True
+        out[7].append(np.packbits(bits).view(np.int64))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.binary(),
+             pa.list_(pa.int64())]
+    names = ["node", "n", "shareable", "short", "scan", "keys", "members", "bits"]
     return pa.table([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
 
 
@@ -200,6 +207,16 @@ def _fits(a: str, b: str) -> Column:
             & (9 * F.least(col(f"{a}.shareable"), col(f"{b}.shareable")) >= 4 * (n + m)))
 
 
+def _may_overlap(a: str, b: str) -> Column:
+    """A bit that one sketch has and the other lacks is a shingle of one set only."""
+    def alone(x: str, y: str):
+        words = range(SKETCH // 64)
+        return sum((F.bit_count(F.col(f"{x}.b{i}").bitwiseAND(F.bitwise_not(f"{y}.b{i}"))) for i in words), F.lit(0))
+
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (9 * alone(a, b) <= 5 * n - 4 * m) & (9 * alone(b, a) <= 5 * m - 4 * n)
+
+
 def _similar(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs (u, v) of classes whose sets have a similarity of 0.8."""
     def side(name: str, node: str):
@@ -222,15 +239,33 @@ def _similar(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return both.mapInArrow(verify, "u bigint, v bigint")
 
 
+def _distinct_lists(postings: DataFrame) -> DataFrame:
+    """Entries of the lists of at least two members, one list per member set.
+
+    Near copies share most of their prefixes, so they meet in hundreds of lists
+    of the same members; one of those says it all.
+    """
+    member = F.xxhash64("node", "heavy").cast("decimal(38,0)")
+    lists = postings.groupBy("key").agg(
+        F.count(F.lit(1)).alias("held"), F.sum(member).alias("s1"),
+        F.sum(F.xxhash64(F.lit(7), "node", "heavy").cast("decimal(38,0)")).alias("s2"))
+    once = lists.where("held > 1").groupBy("held", "s1", "s2").agg(F.min("key").alias("key"))
+    return postings.join(once.select("key"), "key", "left_semi")
+
+
 def similar_classes(found: DataFrame) -> DataFrame:
     """Links (u, v) that connect all classes that similarity connects."""
-    postings = materialize(_postings(found, boundary(found)))
-    entry = F.struct("node", "n", "shareable", "heavy")
-    lists = postings.groupBy("key").agg(F.min(entry).alias("c"), F.count(F.lit(1)).alias("held"))
-    lists = lists.where("held > 1")
+    postings = materialize(_distinct_lists(_postings(found, boundary(found))))
+    # The first member is one that shares most of its shingles: of near copies,
+    # the text they come from, which is closer to each than they are to each other.
+    entry = F.struct(
+        (1 - F.col("shareable") / F.col("n")).alias("alone"), "node", "n", "shareable", "heavy")
+    lists = postings.groupBy("key").agg(F.min(entry).alias("c"))
     star = postings.alias("p").join(lists.alias("l"), "key").where(
         (F.col("p.node") != F.col("c.node")) & (F.col("p.heavy") | F.col("c.heavy")) & _fits("p", "c"))
-    star = materialize(star.select(F.col("c.node").alias("u"), F.col("p.node").alias("v")).distinct())
+    star = star.select(
+        F.least("c.node", "p.node").alias("u"), F.greatest("c.node", "p.node").alias("v"))
+    star = materialize(star.distinct())
     links = materialize(_similar(star, found))
     known = materialize(connected_components(links))
 
@@ -239,12 +274,13 @@ def similar_classes(found: DataFrame) -> DataFrame:
     open_lists = placed.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("held"))
     open_lists = open_lists.where("low <> high AND held > 2").select("key")
-    rest = materialize(placed.join(open_lists, "key", "left_semi"))
+    sketches = found.select("node", *[F.col("bits")[i].alias(f"b{i}") for i in range(SKETCH // 64)])
+    rest = materialize(placed.join(open_lists, "key", "left_semi").join(sketches, "node"))
     cross = rest.alias("a").join(rest.alias("b"), "key").where(
         (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
-        & (F.col("a.heavy") | F.col("b.heavy")) & _fits("a", "b"))
+        & (F.col("a.heavy") | F.col("b.heavy")) & _fits("a", "b") & _may_overlap("a", "b"))
     cross = cross.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-    cross = cross.join(star.unionAll(star.select("v", "u")), ["u", "v"], "left_anti")
+    cross = cross.join(star, ["u", "v"], "left_anti")
     return links.unionAll(materialize(_similar(cross, found)))
 
 
