@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from lopside.llm import kernel
 
-SAMPLE_ROWS = 3_000
+SAMPLE_ROWS = 2_000
 SAMPLE_BYTES = 20_000
 MIN_DOCS = 4  # sampled documents that must hold a feature before it gets a weight
 MIN_LIFT = 2.0  # standard errors by which its toxic share must pass the sample's
@@ -91,15 +91,24 @@ def fit_noisy_or(
 
     ``weights`` says how many rows each sampled row stands for.
     """
-    hashes, sentence, pointers, *_ = sentence_words(texts)
-    hashes, sentence = _distinct_in_sentence(hashes, sentence)
-    n_docs, n_sentences = len(labels), int(pointers[-1]) if len(pointers) else 0
+    # A few texts at a time: only distinct (sentence, feature) pairs are kept.
+    hashes, sentence, pointers = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [0]
+    for start in range(0, len(labels), 250):
+        h, s, p, *_ = sentence_words(texts.slice(start, 250))
+        h, s = _distinct_in_sentence(h, s)
+        hashes.append(h)
+        sentence.append((s + pointers[-1]).astype(np.int32))
+        pointers += (p[1:] + pointers[-1]).tolist()
+    hashes, sentence, pointers = np.concatenate(hashes), np.concatenate(sentence), np.array(pointers)
+    n_docs, n_sentences = len(labels), int(pointers[-1])
     empty = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -8.0, 0.05)
     if n_docs == 0 or n_sentences == 0 or labels.min() == labels.max():
         return empty
     doc = np.repeat(np.arange(n_docs), np.diff(pointers))
     vocabulary, word = np.unique(hashes, return_inverse=True)
-    pair = np.unique(word * np.int64(n_docs) + doc[sentence])
+    word = word.astype(np.int32)
+    del hashes
+    pair = np.unique(word.astype(np.int64) * n_docs + doc[sentence])
     holds = np.bincount(pair // n_docs, minlength=len(vocabulary))
     toxic = np.bincount(pair // n_docs, labels[pair % n_docs], minlength=len(vocabulary))
     share = labels.mean()
