@@ -452,7 +452,5 @@ def test_pipeline_stages(spark, tmp_path, docs, texts):
         assert after == before if name in ("line dedup", "toxicity", "byte-level BPE") else after <= before
         out.write.parquet(f"{tmp_path}/{name}")
         rows = spark.read.parquet(f"{tmp_path}/{name}")
-    assert sorted(r.doc_id for r in rows.collect()) == sorted(
-        r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     kept = brute_lines(texts)
     assert {r.doc_id for r in rows.collect()} <= {i for i, (_, c) in brute_components(kept).items() if i == c}
