@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lopside.session import materialize
+
 SPAN = 13  # words of a window
 GRAM = 5  # words of a k-gram
 KEPT = SPAN - GRAM + 1  # k-grams of a winnowing window
@@ -79,7 +81,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     but is neither counted nor named. Other columns are not used.
     """
     items = _with_hashes(benchmark.select("item_id", "text")).select("item_id", "text", "h")
-    items = items.where(F.size("h") > 0).dropDuplicates()
+    items = materialize(items.where(F.size("h") > 0).dropDuplicates())
     short = [r[0] for r in items.where(F.size("h") < SPAN).select(F.size("h")).distinct().collect()]
     lengths = sorted([SPAN, *short])  # at most thirteen values
 
@@ -97,8 +99,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     probes = probes.select("doc_id", "tag", "n_words", F.explode_outer("probes").alias("probe"))
     matched = probes.join(of_items, F.col("probe") == F.col("f"), "left")
     # All probes of a row meet in one task, so this shuffles one row a document.
-    found = matched.groupBy("doc_id", "tag", "n_words").agg(
-        F.max(F.col("f").isNotNull()).alias("candidate"))
+    # Written, as it is read twice: for the candidates and for the result.
+    found = materialize(matched.groupBy("doc_id", "tag", "n_words").agg(
+        F.max(F.col("f").isNotNull()).alias("candidate")))
 
     candidates = found.where("candidate").select(
         F.col("doc_id").alias("c_id"), F.col("tag").alias("c_tag"))
