@@ -294,7 +294,8 @@ def katz_scores(docs: DataFrame, learn: Column) -> DataFrame:
     """
     rows = docs.select("doc_id", "text")
     size = X.text_size(rows)
-    blocks = max(1, -(-size // X.BLOCK_BYTES))
+    # Half as large again as other operators' blocks: a pair is sent once per block.
+    blocks = max(1, -(-2 * size // (3 * X.BLOCK_BYTES)))
     blocked = X.in_blocks(rows, size, blocks=blocks, learn=F.coalesce(learn, F.lit(False)))
     by_block = blocked.groupBy("block")
     bits = X.shard_bits(size // 6)
