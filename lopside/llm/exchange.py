@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from lopside.llm import kernel
 
 BLOCK_BYTES = 8 << 20
+MAX_PARTITIONS = 50_000  # more blocks than that share partitions, a group each
 PACKED = 5  # bytes a key takes besides its shard number
 ASKED = "block int, shard int, body binary, extra binary"
 
@@ -44,7 +45,7 @@ def in_blocks(docs: DataFrame, size: int, block: Column | None = None, blocks: i
         block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))
     rows = docs.select(block.cast("int").alias("block"), "doc_id", "text",
                        *[c.alias(n) for n, c in columns.items()])
-    return rows.repartition(blocks, "block")
+    return rows.repartition(min(blocks, MAX_PARTITIONS), "block")
 
 
 def shard_bits(keys: int, per_shard: int = 1 << 20) -> int:
