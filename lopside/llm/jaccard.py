@@ -20,6 +20,12 @@ shares most of its shingles; most lists are then one component. What is left,
 members of different components of one list, is compared directly, as far as
 sizes, numbers of shareable shingles and bit sketches allow a similarity of 0.8
 (all three never exclude a pair that has it). No link between components is lost.
+
+The links themselves all lie inside components. To count or list them, a
+component's classes are dealt over cells of bounded size, by size band and hash,
+and every two cells that can hold a link count the shingles of all their pairs as
+a matrix product. Links are counted inside a cell, so no pair becomes a row
+unless pairs are asked for; comparisons grow with the square of a component.
 """
 
 from __future__ import annotations
@@ -38,6 +44,8 @@ from lopside.session import materialize
 
 U64 = np.uint64
 SKETCH = 1024  # bits of a set's sketch, a power of two
+CELL_CLASSES, CELL_BYTES = 512, 4 << 20  # of one cell of a component
+COLUMNS = 4096  # shingles multiplied at a time
 
 
 def _sets(column):
@@ -284,29 +292,153 @@ def similar_classes(found: DataFrame) -> DataFrame:
     return links.unionAll(materialize(_similar(cross, found)))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``.
+def _cells(found: DataFrame, firsts: DataFrame, linked: DataFrame) -> DataFrame:
+    """Classes of components, once for each pair (i, j) of cells they belong to.
 
-    A document's set holds its distinct 5-word shingles (A-Z lower-cased, words
-    are runs without white space), or, of fewer words, its whole sequence; an
-    empty set (null text, or no words) is linked with nothing. ``component_id``
-    is the smallest id that links of at least 0.8 reach. Rows of one text, or of
-    one set, are one class; rows that share an id but not a set keep their own
-    classes. An empty table gives an empty table. Other columns are not used.
+    A cell is a part of a component or, of a large one, of a band of its sizes;
+    a band is wide enough that similar sets lie in one or in adjacent bands.
     """
+    parts = F.ceil(F.greatest(
+        F.count(F.lit(1)) / CELL_CLASSES, F.sum(F.length("members")) / CELL_BYTES)).cast("int")
+    classes = found.join(linked, "node").join(firsts.select("node", "rows"), "node").select(
+        "component", "node", "n", "rows", "members")
+    whole = classes.groupBy("component").agg(parts.alias("whole"))
+    band = F.when(F.col("whole") == 1, 0).otherwise(F.floor(F.log(1.3, F.col("n")))).cast("int")
+    classes = materialize(classes.join(whole, "component").withColumn("band", band).drop("whole"))
+    cells = materialize(classes.groupBy("component", "band").agg(parts.alias("parts")))
+
+    def beside(step: int, name: str):
+        return cells.select("component", (F.col("band") - step).alias("band"), F.col("parts").alias(name))
+
+    around = cells.join(beside(1, "above"), ["component", "band"], "left").join(
+        beside(-1, "below"), ["component", "band"], "left").na.fill(0, ["above", "below"])
+    pairs = F.expr("""concat(
+        transform(slice(sequence(0, parts), 1, parts), x -> named_struct(
+            'low', band, 'up', 0, 'i', least(part, x), 'j', greatest(part, x), 'side', int(x < part))),
+        transform(slice(sequence(0, above), 1, above), x -> named_struct(
+            'low', band, 'up', 1, 'i', part, 'j', x, 'side', 0)),
+        transform(slice(sequence(0, below), 1, below), x -> named_struct(
+            'low', band - 1, 'up', 1, 'i', x, 'j', part, 'side', 1)))""")
+    part = F.pmod(F.xxhash64(F.lit(11), "node"), F.col("parts")).cast("int")
+    return classes.join(around, ["component", "band"]).withColumn("part", part).select(
+        "component", "node", "n", "rows", "members", F.inline(pairs))
+
+
+def _common(left: list, right: list, same: bool) -> np.ndarray:
+    """Numbers of shingles that each left set shares with each right one."""
+    sides = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right)]
+    keys = np.concatenate([*left, *right, np.zeros(0, U64)])
+    vocabulary, at = np.unique(keys, return_inverse=True)
+    cut, size = len(sides[0]), len(vocabulary)
+    held = [np.bincount(x, minlength=size) for x in (at[:cut], at[cut:])]
+    shared = held[0] > 1 if same else (held[0] > 0) & (held[1] > 0)
+    number = np.cumsum(shared) - 1
+    entries = []
+    for row, column in zip(sides, (at[:cut], at[cut:])):
+        keep = shared[column]
+        row, column = row[keep], number[column[keep]]
+        order = np.argsort(column, kind="stable")
+        entries.append((row[order], column[order]))
+    common = np.zeros((len(left), len(right)), dtype=np.int64)
+    for start in range(0, int(shared.sum()), COLUMNS):
+        block = []
+        for (row, column), n in zip(entries, common.shape):
+            a, b = np.searchsorted(column, [start, start + COLUMNS])
+            dense = np.zeros((n, COLUMNS), dtype=np.float32)
+            dense[row[a:b], column[a:b] - start] = 1
+            block.append(dense)
+        common += (block[0] @ block[1].T).astype(np.int64)
+    return common
+
+
+def _links_of(pairs: bool):
+    """Links of one pair of cells: (u, v), or the linked rows of each class."""
+    def link(key, cell):
+        same = key[2].as_py() == 0 and key[3].as_py() == key[4].as_py()
+        side = cell.column("side").to_numpy()
+        pick = [np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))]
+        sets = [np.frombuffer(x.as_buffer(), dtype="<u8") for x in cell.column("members")]
+        node, n, rows = (cell.column(c).to_numpy() for c in ("node", "n", "rows"))
+        a, b = pick
+        common = _common([sets[x] for x in a], [sets[x] for x in b], same)
+        linked = 100 * common >= 80 * (n[a][:, None] + n[b][None, :] - common)
+        if same:
+            linked = np.triu(linked, 1)
+        if pairs:
+            i, j = np.nonzero(linked)
+            u, v = node[a][i], node[b][j]
+            return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+        return pa.table({"node": np.concatenate([node[a], node[b]]),
+                         "linked_rows": np.concatenate([linked @ rows[b], rows[a] @ linked])})
+    return link
+
+
+def _in_cells(found: DataFrame, firsts: DataFrame, linked: DataFrame, pairs: bool) -> DataFrame:
+    schema = "u bigint, v bigint" if pairs else "node bigint, linked_rows bigint"
+    cells = _cells(found, firsts, linked).groupBy("component", "low", "up", "i", "j")
+    return cells.applyInArrow(_links_of(pairs), schema)
+
+
+def _classes(docs: DataFrame):
+    """(rows with their class, classes, candidate classes, components of classes)."""
     rows = docs.select("doc_id", "text")
     size = X.text_size(rows)
     blocked = X.in_blocks(rows, size)
     signed = materialize(signatures(blocked))
     firsts = materialize(signed.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("first"), F.min("block").alias("block")))
+        F.min("doc_id").alias("first"), F.min("block").alias("block"), F.count(F.lit(1)).alias("rows")))
     found = materialize(candidates(blocked, firsts, X.shard_bits(size // 5)))
-    linked = connected_components(similar_classes(found))
+    return signed, firsts, found, connected_components(similar_classes(found))
+
+
+def _components(signed: DataFrame, firsts: DataFrame, linked: DataFrame, *more: str) -> DataFrame:
     low = firsts.join(linked, "node").groupBy("component").agg(F.min("first").alias("component_id"))
     of_class = firsts.join(linked.join(low, "component"), "node", "left").select(
-        "node", F.coalesce("component_id", "first").alias("component_id"))
+        "node", F.coalesce("component_id", "first").alias("component_id"), *more)
     return signed.join(of_class, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *more)
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``.
+
+    A document's set holds its distinct 5-word shingles (A-Z lower-cased, words
+    are runs without white space), or, of fewer words, its whole sequence; an
+    empty set (null text, or no words) is linked with nothing. ``component_id``
+    is the smallest id that links of at least 0.8 reach. Rows of one text, or of
+    one set, are one class; rows that share an id but not a set keep their own
+    classes. An empty table gives an empty table. Other columns are not used.
+    """
+    signed, firsts, _, linked = _classes(docs)
+    return _components(signed, firsts, linked)
+
+
+def jaccard_join(docs: DataFrame) -> DataFrame:
+    """The columns of ``jaccard_components`` and ``n_links`` of every row: how many
+    other rows have a similarity of at least 0.8 to it, those of its own set
+    included. Every pair counts, also one that a third row connects already."""
+    signed, firsts, found, linked = _classes(docs)
+    linked = materialize(linked)
+    counted = _in_cells(found, firsts, linked, pairs=False).groupBy("node").agg(
+        F.sum("linked_rows").alias("linked_rows"))
+    firsts = firsts.join(counted, "node", "left").withColumn(
+        "n_links", F.col("rows") - 1 + F.coalesce("linked_rows", F.lit(0)))
+    return _components(signed, firsts, linked, "n_links").na.fill(0, ["n_links"])
+
+
+def jaccard_links(docs: DataFrame) -> DataFrame:
+    """(u, v, u_rows, v_rows): all pairs of different sets with a similarity of at
+    least 0.8, each once, by the smallest id of each set's rows and their number."""
+    _, firsts, found, linked = _classes(docs)
+    links = _in_cells(found, firsts, materialize(linked), pairs=True)
+
+    def side(x: str):
+        return firsts.select(F.col("node").alias(x), F.col("first").alias(f"{x}_id"), F.col("rows").alias(f"{x}_rows"))
+
+    return links.join(side("u"), "u").join(side("v"), "v").select(
+        F.least("u_id", "v_id").alias("u"), F.greatest("u_id", "v_id").alias("v"),
+        F.when(F.col("u_id") <= F.col("v_id"), F.col("u_rows")).otherwise(F.col("v_rows")).alias("u_rows"),
+        F.when(F.col("u_id") <= F.col("v_id"), F.col("v_rows")).otherwise(F.col("u_rows")).alias("v_rows"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -101,6 +101,32 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 
+def op3_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
+OP3_LINKS_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 4, 1))) AS i FROM d WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i + 1 : i + 5], ' ') AS s FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b USING (s)
+      WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v
+      WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+k AS (SELECT u AS doc_id, count(*) AS n_links FROM e GROUP BY u),
+reach AS (SELECT u AS doc_id, v AS other FROM e
+          UNION SELECT r.doc_id, e.v FROM reach r JOIN e ON r.other = e.u),
+m AS (SELECT doc_id, min(other) AS low FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id,
+       coalesce(n_links, 0) AS n_links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.range(2).select(
@@ -204,6 +230,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_jaccard_join": op3_jaccard_join,
+    "op3_jaccard_links": op3_jaccard_links,
     "op4_chat_format": op4_chat_format,
     "op5_license_scan": op5_license_scan,
     "op6_decontamination": op6_decontamination,
@@ -212,5 +239,6 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_katz": op10_katz,
 }
-ORACLES = {"op1_suffix_dedup": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_decontamination": OP6_SQL,
+ORACLES = {"op1_suffix_dedup": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_jaccard_join": OP3_SQL,
+           "op3_jaccard_links": OP3_LINKS_SQL, "op4_chat_format": OP4_SQL, "op6_decontamination": OP6_SQL,
            "op8_top_k": OP8_SQL}

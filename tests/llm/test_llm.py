@@ -181,6 +181,33 @@ def test_jaccard_any_boundary(docs, texts, size, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(texts).items()}
 
 
+@pytest.mark.parametrize("cell", [512, 3])
+def test_jaccard_counts_every_link(spark, docs, texts, cell, monkeypatch):
+    monkeypatch.setattr(jaccard, "CELL_CLASSES", cell)
+    monkeypatch.setattr(jaccard, "COLUMNS", 64)
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(500)}" for _ in range(200)]
+    near = [" ".join([*base[:-k], *[f"end{k}"] * (k % 3)]) for k in range(1, 41)]  # all near, through many thirds
+    texts = texts | {1000 + i: t for i, t in enumerate([*near, near[3], near[3].upper()])}
+    sets = {i: {tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))} if (w := words(t)) else set()
+            for i, t in texts.items()}
+    links = {(i, j) for i in sets for j in sets if i < j and sets[i]
+             and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in jaccard.jaccard_join(table).collect()}
+    assert {i: r.n_links for i, r in got.items()} == {i: sum(i in x for x in links) for i in texts}
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(texts)
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(frozenset(sets[i]), i)
+    size = Counter(frozenset(x) for x in sets.values())
+    want = {(i, j, size[frozenset(sets[i])], size[frozenset(sets[j])]) for i, j in links
+            if sets[i] != sets[j] and first[frozenset(sets[i])] == i and first[frozenset(sets[j])] == j}
+    pairs = [tuple(r) for r in jaccard.jaccard_links(table).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want and len(want) > 400
+    assert jaccard.jaccard_join(table.limit(0)).count() == 0
+
+
 def test_connected_components_of_a_chain(spark):
     links = spark.range(1, 60).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     links = links.unionAll(spark.sql("SELECT 100L, 101L UNION ALL SELECT 101L, 101L UNION ALL SELECT NULL, 5L"))
