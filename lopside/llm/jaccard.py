@@ -60,9 +60,10 @@ def _sets(column):
 
 
 def signatures(blocked: DataFrame) -> DataFrame:
-    """(doc_id, block, n, node): set size and class (null for an empty set)."""
+    """(doc_id, tag, block, n, node): hash of the text, set size and class (null for an empty set)."""
     schema = T.StructType([
-        T.StructField("doc_id", blocked.schema["doc_id"].dataType), T.StructField("block", T.IntegerType()),
+        T.StructField("doc_id", blocked.schema["doc_id"].dataType), T.StructField("tag", T.LongType()),
+        T.StructField("block", T.IntegerType()),
         T.StructField("n", T.LongType()), T.StructField("node", T.LongType())])
 
     def sign(batches):
@@ -71,10 +72,10 @@ def signatures(blocked: DataFrame) -> DataFrame:
                 _, _, pointers, signature = _sets(batch.column("text"))
                 n = np.diff(pointers)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("block"), pa.array(n),
+                    [batch.column("doc_id"), batch.column("tag"), batch.column("block"), pa.array(n),
                      pa.array(signature.view(np.int64), mask=n == 0)], names=schema.names)
 
-    return blocked.mapInArrow(sign, schema)
+    return blocked.withColumn("tag", F.xxhash64("text")).mapInArrow(sign, schema)
 
 
 def _chosen(docs: pa.Table, wanted: pa.Table):
@@ -442,8 +443,26 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller id."""
-    found = jaccard_components(docs).where("component_id < doc_id").select(
-        F.col("doc_id").alias("copy_id")).distinct()
+    """One row of ``docs`` of each component, and all rows of empty sets.
+
+    The row of the smallest id stays (a null id is the largest), of several texts
+    under that id the one whose hash is smallest, and of rows that repeat id and
+    text the one whose other columns hash lowest.
+    """
+    signed, _, _, linked = _classes(docs)
+    copies = materialize(signed.where("node IS NOT NULL").join(linked, "node", "left").groupBy(
+        F.coalesce("component", "node").alias("component"), "doc_id", "tag").agg(F.count(F.lit(1)).alias("rows")))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    best = copies.groupBy("component").agg(F.min(place).alias("best"))
+    stays = place.eqNullSafe(F.col("best"))
+    marked = materialize(copies.join(best, "component").where(~stays | (F.col("rows") > 1)).select(
+        F.col("doc_id").alias("copy_id"), F.col("tag").alias("copy_tag"), stays.alias("once")))
     row = docs.select(F.struct(*docs.columns).alias("row"))
-    return row.join(found, F.col("row")["doc_id"] == F.col("copy_id"), "left_anti").select("row.*")
+    mine = (F.col("row")["doc_id"].eqNullSafe(F.col("copy_id"))
+            & (F.xxhash64(F.col("row")["text"]) == F.col("copy_tag")))
+    kept = row.join(marked, mine, "left_anti")
+    repeated = marked.where("once")
+    if not repeated.isEmpty():
+        kept = kept.unionAll(row.join(repeated, mine).groupBy("copy_id", "copy_tag").agg(
+            F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row"))
+    return kept.select("row.*")

@@ -208,6 +208,23 @@ def test_jaccard_counts_every_link(spark, docs, texts, cell, monkeypatch):
     assert jaccard.jaccard_join(table.limit(0)).count() == 0
 
 
+def test_keep_one_of_repeated_ids(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a, "x"), (2, a + " end", "x"), (2, b, "clean"),  # id 2: a near copy, and a text of its own
+            (5, b + " end", "x"), (None, a, "x"), (None, "c d e f g h i", "own"), (None, "c d e f g h i", "own"),
+            (7, "k l m n o p", "p"), (7, "k l m n o p", "q"), (8, "k l m n o p", "x"), (9, None, "x"), (9, None, "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    once = jaccard.keep_one(table)
+    assert once.columns == table.columns
+    got = Counter(tuple(r) for r in once.collect())
+    seven = [r for r in got if r[0] == 7]
+    assert len(seven) == 1 and seven[0] in rows
+    assert got == Counter([rows[0], rows[2], rows[5], seven[0], rows[10], rows[11]])
+    again = jaccard.keep_one(table.repartition(5, "score"))
+    assert Counter(tuple(r) for r in again.collect()) == got
+    assert jaccard.keep_one(table.limit(0)).count() == 0
+
+
 def test_connected_components_of_a_chain(spark):
     links = spark.range(1, 60).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     links = links.unionAll(spark.sql("SELECT 100L, 101L UNION ALL SELECT 101L, 101L UNION ALL SELECT NULL, 5L"))
