@@ -173,21 +173,23 @@ def train_toxicity(
 
     ``learn`` is a condition on ``doc_id`` that training rows meet. Rows with a
     null label, and labels without a document, are left out; a document
-    labelled several times counts once per distinct label. With one class or
-    no rows the model scores every text near 0.
+    labelled several times counts once per distinct label. Rows that repeat id
+    and text stand in the sample once, several texts of one id are sampled each.
+    With one class or no rows the model scores every text near 0.
     """
     known = labels.where(F.col("toxic").isNotNull())
     if learn is not None:
         known = known.where(learn)
     known = known.select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
-    order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
-    sized = docs.select("doc_id", "text").where(
+    order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"), F.col("tag")]
+    sized = docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).where(
         F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes
     )
     # Labels first: the hash order needs no text, so the sort carries ids only.
-    short = sized.join(known, "doc_id").select("doc_id", "toxic")
-    picked = [short.where(F.col("toxic") == c).orderBy(*order).limit(sample_rows) for c in (0, 1)]
-    rows = sized.join(picked[0].unionAll(picked[1]), "doc_id")
+    short = sized.join(known, "doc_id").select("doc_id", "tag", "toxic")
+    each = short.distinct()
+    picked = [each.where(F.col("toxic") == c).orderBy(*order).limit(sample_rows) for c in (0, 1)]
+    rows = sized.join(picked[0].unionAll(picked[1]), ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag", "toxic"])
     table = rows.select("text", "toxic").toArrow()
     y = table.column("toxic").to_numpy().astype(np.int64)
     n = {r["toxic"]: r["count"] for r in short.groupBy("toxic").count().collect()}

@@ -346,6 +346,21 @@ def test_toxicity_without_labels(spark, docs):
     assert toxicity.score_toxicity(docs, model).where("score >= 0.7").count() == 0
 
 
+def test_toxicity_sample_is_bounded_with_repeated_ids(spark, monkeypatch):
+    sampled = []
+    monkeypatch.setattr(toxicity, "fit_noisy_or", lambda texts, y, weights: sampled.append(
+        sorted(zip(texts.to_pylist(), y.tolist(), weights.tolist()))))
+    rows = [(1, "same")] * 30 + [(1, f"text {i}") for i in range(30)] + [(2, "good"), (3, "fine")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    toxicity.train_toxicity(table, labels, sample_rows=5)
+    toxicity.train_toxicity(table, labels)
+    few, every = sampled
+    assert len(few) == 7 and len({t for t, _, _ in few}) == 7
+    assert {w for _, y, w in few if y} == {60 / 5} and {w for _, y, w in few if not y} == {1.0}
+    assert [t for t, *_ in every] == sorted({t for _, t in rows})
+
+
 def test_noisy_or_blames_the_sentence():
     rnd = random.Random(3)
     texts, labels = [], []
