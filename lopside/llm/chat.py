@@ -29,10 +29,13 @@ DELTA_CHARS = 512
 
 
 def log_of(conversations: DataFrame, delta_chars: int = DELTA_CHARS) -> DataFrame:
-    """The event log that streams each row of a conversation table as deltas.
+    """An event log that leads to each row of a conversation table.
 
     Rows of one conversation and turn are told apart by ``copy``, in order of
-    role and text; a null role or text is empty.
+    role and text; a null role or text is empty. By a hash of these numbers,
+    two fifths of the messages stream as deltas only; the others have a wrong
+    start first, of two deltas, which an edit, a regeneration, or a regeneration
+    with a text of its own takes back.
     """
     rows = conversations.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
@@ -40,9 +43,25 @@ def log_of(conversations: DataFrame, delta_chars: int = DELTA_CHARS) -> DataFram
     copy = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
     starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(delta_chars))
     pieces = F.transform(starts, lambda i: F.substring(F.col("text"), i + 1, F.lit(delta_chars)))
-    return rows.withColumn("copy", copy).select(
-        "conv_id", "turn", "copy", "role", F.lit("delta").alias("kind"),
-        F.posexplode(pieces).alias("seq", "text"))
+    def event(kind: str, said: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), said.alias("text"))
+
+    def deltas(texts: Column) -> Column:
+        return F.transform(texts, lambda x: event("delta", x))
+
+    first = F.element_at("pieces", 1)
+    rest = deltas(F.slice("pieces", F.lit(2), F.size("pieces")))
+    wrong = [event("delta", F.concat(F.lit("wrong "), first)), event("delta", F.lit(" start"))]
+    history = F.pmod(F.xxhash64(F.lit(13), "conv_id", "turn", "copy"), F.lit(5))
+    events = (
+        F.when(history == 0, F.concat(F.array(*wrong, event("edit", first)), rest))
+        .when(history == 1, F.concat(
+            F.array(*wrong, event("regenerate", F.lit(None).cast("string"))), deltas(F.col("pieces"))))
+        .when(history == 2, F.concat(F.array(*wrong, event("regenerate", first)), rest))
+        .otherwise(deltas(F.col("pieces"))))
+    logged = rows.withColumn("copy", copy).withColumn("pieces", pieces).select(
+        "conv_id", "turn", "copy", "role", F.posexplode(events).alias("seq", "event"))
+    return logged.select("conv_id", "turn", "copy", "role", "event.kind", "seq", "event.text")
 
 
 def fold(log: DataFrame) -> DataFrame:

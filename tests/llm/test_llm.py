@@ -258,6 +258,19 @@ def test_chat_folds_edits_and_regenerations(spark):
     assert got == [(0, "user", "hello"), (1, "assistant", "good"), (2, "user", "newer")]
 
 
+def test_chat_log_holds_all_kinds_of_events(spark):
+    rows = [(c, t, "user" if t % 2 else "assistant", "ab" * (c * t)) for c in range(12) for t in range(6)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.log_of(table, 8).persist()
+    kinds = defaultdict(set)
+    for r in log.collect():
+        kinds[r.conv_id, r.turn].add((r.kind, r.kind == "regenerate" and r.text is None))
+    assert {x for k in kinds.values() for x in k} == {
+        ("delta", False), ("edit", False), ("regenerate", False), ("regenerate", True)}
+    assert 0.3 < sum(len(k) > 1 for k in kinds.values()) / len(kinds) < 0.9
+    assert sorted(tuple(r) for r in chat.fold(log).drop("copy").collect()) == sorted(rows)
+
+
 def test_license_scan(spark, none):
     rows = [(1, "Released under the MIT License. apache license, version 2 -- CC-BY-NC!"), (2, None), (3, ""),
             (4, "under the mit licenses"), (5, "under the mit license " * 50), (6, "cc by nc" + " word" * 40000),
