@@ -1,14 +1,12 @@
 """License scans by a positional index over rare license words.
 
-The index holds, for every word of every template, its postings (template,
-position). A file looks up its rarest license words (highest IDF over the
-whole corpus) first: each posting at word position p and template position q
-proposes that the template starts at p - q. A proposal is verified by the
-template's mandatory key phrase at its place, then graded by the share of the
-template's words that stand at their relative positions.
-
-Every key phrase has an anchor, its rarest word, so a file that holds the
-phrase holds the anchor and every place is found.
+The index holds one posting per template, (template, position) of its anchor:
+the rarest word of its mandatory key phrase, by IDF over the whole corpus. Each
+place p of an anchor of template position q proposes that the template starts at
+p - q. A proposal is verified by the key phrase at its place, then graded by the
+share of the template's words that stand at their relative positions. Other
+words have no postings, and nothing is intersected: a file that holds the phrase
+holds the anchor, so every place is found.
 """
 
 from __future__ import annotations
