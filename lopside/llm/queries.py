@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lopside.llm import (
-    bpe, chat, covertree, decontaminate, jaccard, katz, license, lines, suffix, toxicity,
+    align, bpe, chat, covertree, decontaminate, jaccard, katz, license, lines, mixing, suffix, toxicity, whiten,
 )
+from lopside.session import materialize
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+A_FILE = public_tokenizers.path("byte_bpe_50k.json")
+B_FILE = public_tokenizers.path("piece_bpe_32k.model")
 TOXIC_AT = 0.7
 
 
@@ -226,6 +229,68 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.katz_scores(_table(spark, sf_dir, "documents"), remainder(10) != 0)
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = align.aligned_documents(docs, rank_file(A_FILE), rank_file(B_FILE))
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    drawn = mixing.draw_copies(docs, carry=False)
+    return drawn.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+o AS (SELECT source, sum(size)::HUGEINT AS s, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source),
+w AS (SELECT *, CASE n % 3 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 1 END::HUGEINT AS w, 3 * sum(s) OVER () AS pool FROM o),
+c AS (
+  SELECT *, 2 * s * 2 * sum(w) OVER (l ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    <= w * (pool - 2 * coalesce(sum(2 * s) OVER (l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS is_full
+  FROM w WINDOW l AS (ORDER BY s::DOUBLE / w::DOUBLE, n)),
+t AS (
+  SELECT source, s, CASE WHEN is_full THEN (2 * s)::DOUBLE ELSE least((2 * s)::DOUBLE, w::DOUBLE
+      * (pool - 2 * coalesce(sum(2 * s) FILTER (is_full) OVER (), 0))::DOUBLE
+      / (2 * sum(w) FILTER (NOT is_full) OVER ())::DOUBLE) END AS target
+  FROM c),
+e AS (
+  SELECT source, s, target,
+    CASE WHEN s > 0 THEN floor(target / s::DOUBLE * 16777216 + 0.5) ELSE 0 END::BIGINT AS e,
+    ('0x' || substr(md5('0:' || coalesce(source, '')), 1, 6))::BIGINT AS u FROM t),
+p AS (
+  SELECT doc_id, size, s, target, e, u + sum(e) OVER (PARTITION BY d.source
+      ORDER BY size, substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 16), doc_id
+      ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, s::BIGINT AS source_size, target,
+       (size * ((upto // 16777216) - ((upto - e) // 16777216)))::BIGINT AS taken
+FROM p
+"""
+
+
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is null where it passes 64 bits; a table whose vectors are all
+    equal, or none, has no components and no rows."""
+    vectors = _table(spark, sf_dir, "embeddings").where(whiten.usable())
+    x = F.transform("embedding", lambda c: F.floor(1024.0 * c.cast("double")) + 100000)
+    rows = materialize(vectors.select("vec_id", x.alias("x")))
+    fitted = whiten.fit_whitening(rows, 8)
+    if fitted is None:
+        fitted = whiten.Whitener(1, [], whiten.np.zeros((0, 0)), whiten.np.zeros(0), 1.0, 0.0, 0)
+    white = materialize(whiten.whiten(rows, fitted))
+    error = whiten.identity_error(white, fitted.n)
+    apart = F.zip_with("x", F.array(*[F.lit(s) for s in fitted.sums]).cast("array<bigint>"),
+                       lambda a, s: (a * F.lit(fitted.n) - s).cast("decimal(19,0)"))
+    squares = F.aggregate(apart, F.lit(0).cast("decimal(38,0)"), lambda t, a: (t + a * a).cast("decimal(38,0)"))
+    shares = F.array(*[F.lit(float(e / fitted.trace)) for e in fitted.values]).cast("array<double>")
+    return white.select(
+        "vec_id", squares.try_cast("bigint").alias("deviation"), F.posexplode("whitened").alias("at", "whitened")
+    ).select("vec_id", (F.col("at") + 1).alias("component"), F.lit(fitted.n).cast("bigint").alias("n"), "deviation",
+             "whitened", F.get(shares, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -238,7 +303,10 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_bpe": op9_bpe,
     "op10_katz": op10_katz,
+    "op11_align": op11_align,
+    "op12_mix": op12_mix,
+    "op13_whiten": op13_whiten,
 }
 ORACLES = {"op1_suffix_dedup": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_jaccard_join": OP3_SQL,
            "op3_jaccard_links": OP3_LINKS_SQL, "op4_chat_format": OP4_SQL, "op6_decontamination": OP6_SQL,
-           "op8_top_k": OP8_SQL}
+           "op8_top_k": OP8_SQL, "op12_mix": OP12_SQL}
