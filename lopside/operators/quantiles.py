@@ -1,26 +1,27 @@
-"""Exact quantiles of many columns without gathering a column in one task.
+"""Exact order statistics of many columns by radix selection.
 
 ``percentile`` keeps every distinct value of a column in one aggregation
-buffer, which fails on continuous columns at scale. Here one pass with a
-constant-size sketch brackets each wanted order statistic, and a second pass
-counts what lies below the bracket and ranks only the values inside it.
-The bracket is checked; if it misses, it is widened and the pass repeats, so
-the result is exact whatever the sketch returned.
-
-Columns go through as (column number, value) rows rather than as one aggregate
-per column, which keeps the generated code small for wide tables.
+buffer, which fails on continuous columns at scale. Here a double becomes an
+unsigned number of the same order, and each pass counts the next DIGIT bits of
+the values that share the leading bits found so far for a wanted rank. Five
+passes fix all 64 bits. Partitions send counts, no value is ranked or gathered,
+and a pass's running sum is over at most 2**DIGIT counts for each rank.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lopside.session import small_table
+from lopside.session import materialize, small_table
 
-SKETCH_ACCURACY = 10_000
+DIGIT = 13
+BITS = 64
+HELD = 1 << 20  # counts a task holds before it passes them on
 
 
 def exact_quantiles(
@@ -32,22 +33,123 @@ def exact_quantiles(
     """
     if not cols:
         return {}
-    values = long_form(df, cols)
-    slack = 2.0 / SKETCH_ACCURACY
-    found: dict[tuple[int, int], float | None] = {}
-    pending = None
-    while pending is None or pending:
-        sketches = _sketch(values, fractions, slack)
-        if pending is None:
-            pending = {
-                (i, j) for i in range(len(cols)) for j in range(len(fractions))
-                if not only_with_nulls or sketches[i][1] > sketches[i][0]
-            }
-        found |= _select(values, fractions, sketches, pending)
-        pending -= set(found)
-        slack *= 10
-    wanted = sorted({i for i, _ in found})
-    return {cols[i]: [found[(i, j)] for j in range(len(fractions))] for i in wanted}
+    values = _narrow(df, cols)
+    sizes = _sizes(values, len(cols))
+    wanted = [i for i, (known, rows) in enumerate(sizes) if not only_with_nulls or rows > known]
+    places = {(i, f): (sizes[i][0] - 1) * f for i in wanted if sizes[i][0] for f in fractions}
+    ranks = {(i, end(at)) for (i, _), at in places.items() for end in (math.floor, math.ceil)}
+    found = _select(values, ranks)
+
+    def value(i: int, f: float) -> float | None:
+        if (i, f) not in places:
+            return None
+        at = places[i, f]
+        low, high = found[i, math.floor(at)], found[i, math.ceil(at)]
+        return low if low == high else low + (high - low) * (at - math.floor(at))
+
+    return {cols[i]: [value(i, f) for f in fractions] for i in wanted}
+
+
+def order_statistics(df: DataFrame, cols: list[str], parts: int) -> dict[str, list[float]]:
+    """The distinct values of rank floor(i * n / parts), i from 1 to parts - 1,
+    in rising order; nulls are ignored, a column without values has none."""
+    values = _narrow(df, cols)
+    sizes = _sizes(values, len(cols))
+    ranks = {(i, j * known // parts) for i, (known, _) in enumerate(sizes) if known for j in range(1, parts)}
+    found = _select(values, ranks)
+    return {c: sorted({v for (j, _), v in found.items() if j == i}) for i, c in enumerate(cols)}
+
+
+def _narrow(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The columns as doubles, written once: every pass reads them."""
+    return materialize(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]))
+
+
+def _sizes(values: DataFrame, n: int) -> list[tuple[int, int]]:
+    """(values, rows) of each column."""
+    row = values.agg(F.count(F.lit(1)), *[F.count(f"c{i}") for i in range(n)]).first()
+    return [(row[i + 1], row[0]) for i in range(n)]
+
+
+def ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the order of the doubles; both zeros are one, NaN is last."""
+    raw = (np.where(np.isnan(x), np.nan, x) + 0.0).view(np.uint64)
+    negative = (raw >> np.uint64(63)).astype(bool)
+    return np.where(negative, ~raw, raw | np.uint64(1 << 63))
+
+
+def from_ordered_bits(key: int) -> float:
+    raw = key ^ (1 << 63) if key >> 63 else ~key & (2**64 - 1)
+    return float(np.array([raw], dtype=np.uint64).view(np.float64)[0])
+
+
+def _select(values: DataFrame, ranks: set[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """The value of each (column, rank), ranks from 0."""
+    # (column, leading bits) -> [(rank asked for, rank among those values)]
+    open_ranks: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for i, rank in ranks:
+        open_ranks.setdefault((i, 0), []).append((rank, rank))
+    done = 0
+    while done < BITS and open_ranks:
+        width = min(DIGIT, BITS - done)
+        slots = sorted(open_ranks)
+        asked = [(s, asked, rank) for s, key in enumerate(slots) for asked, rank in open_ranks[key]]
+        counts = values.mapInArrow(_digits(slots, done, width), "slot int, digit int, n bigint").groupBy(
+            "slot", "digit").agg(F.sum("n").alias("n"))
+        upto = F.sum("n").over(
+            Window.partitionBy("slot").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))
+        # As many rows as ranks were asked for.
+        table = small_table(values.sparkSession, asked, "slot int, asked long, rank long")
+        hits = (
+            counts.withColumn("last", upto).withColumn("first", F.col("last") - F.col("n"))
+            .join(F.broadcast(table), "slot")
+            .where((F.col("first") <= F.col("rank")) & (F.col("rank") < F.col("last"))).collect()
+        )
+        open_ranks = {}
+        for h in hits:
+            i, prefix = slots[h["slot"]]
+            open_ranks.setdefault((i, prefix << width | h["digit"]), []).append((h["asked"], h["rank"] - h["first"]))
+        done += width
+    return {(i, asked): from_ordered_bits(key) for (i, key), held in open_ranks.items() for asked, _ in held}
+
+
+def _digits(slots: list[tuple[int, int]], done: int, width: int):
+    """Task that counts the next ``width`` bits of values in each slot."""
+    by_column: dict[int, list[tuple[int, int]]] = {}
+    for s, (i, prefix) in enumerate(slots):
+        by_column.setdefault(i, []).append((prefix, s))
+
+    def count(batches):
+        codes, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def out():
+            return pa.RecordBatch.from_arrays(
+                [pa.array((codes >> width).astype(np.int32)), pa.array((codes & (2**width - 1)).astype(np.int32)),
+                 pa.array(times)], names=["slot", "digit", "n"])
+
+        for batch in batches:
+            parts = [codes]
+            weights = [times]
+            for i, held in by_column.items():
+                x = batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+                bits = ordered_bits(x)
+                prefixes = np.array([p for p, _ in held], dtype=np.uint64)
+                numbers = np.array([s for _, s in held], dtype=np.int64)
+                lead = bits >> np.uint64(BITS - done) if done else np.zeros(len(bits), np.uint64)
+                at = np.minimum(np.searchsorted(prefixes, lead), len(prefixes) - 1)
+                inside = prefixes[at] == lead
+                digit = (bits[inside] >> np.uint64(BITS - done - width)) & np.uint64(2**width - 1)
+                found, n = np.unique(numbers[at[inside]] << width | digit.astype(np.int64), return_counts=True)
+                parts.append(found)
+                weights.append(n)
+            codes, where = np.unique(np.concatenate(parts), return_inverse=True)
+            times = np.bincount(where.ravel(), np.concatenate(weights), len(codes)).astype(np.int64)
+            if len(codes) > HELD:
+                yield out()
+                codes, times = codes[:0], times[:0]
+        yield out()
+
+    return count
 
 
 def long_form(df: DataFrame, cols: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -61,60 +163,3 @@ def long_form(df: DataFrame, cols: list[str], keep: tuple[str, ...] = ()) -> Dat
         for i, c in enumerate(cols)
     ])
     return df.select(*keep, F.explode(cells).alias("_s")).select(*keep, "_s.i", "_s.v")
-
-
-def _sketch(values: DataFrame, fractions: list[float], slack: float) -> dict:
-    """Per column: known values, rows, and a bracket per fraction."""
-    edges = [e for f in fractions for e in (max(f - slack, 0.0), min(f + slack, 1.0))]
-    rows = values.groupBy("i").agg(
-        F.count("v").alias("known"), F.count(F.lit(1)).alias("rows"),
-        F.percentile_approx("v", edges, SKETCH_ACCURACY).alias("edges"),
-    ).collect()
-    return {r["i"]: (r["known"], r["rows"], r["edges"]) for r in rows}
-
-
-def _select(values, fractions, sketches, pending):
-    found, brackets, positions = {}, [], {}
-    for i, j in pending:
-        known, _, edges = sketches.get(i, (0, 0, None))
-        if not known:
-            found[(i, j)] = None
-            continue
-        position = (known - 1) * fractions[j]
-        positions[(i, j)] = position
-        brackets.append((
-            i, j, edges[2 * j], edges[2 * j + 1], math.floor(position), math.ceil(position)
-        ))
-    if not brackets:
-        return found
-    # One row per (column, fraction): as many as the caller asked for.
-    table = small_table(
-        values.sparkSession, brackets, "i int, j int, lo double, hi double, low long, high long"
-    )
-    # Values below a bracket collapse to one null group, equal values inside it
-    # to one row each, both before the shuffle.
-    counted = (
-        values.where("v IS NOT NULL").join(F.broadcast(table), "i").where("v <= hi")
-        .groupBy("i", "j", "low", "high", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = F.sum("n").over(
-        Window.partitionBy("i", "j").orderBy(F.asc_nulls_first("v"))
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    holds = lambda rank: (F.col("first") <= F.col(rank)) & (F.col(rank) < F.col("last"))
-    hits = (
-        counted.withColumn("last", upto).withColumn("first", F.col("last") - F.col("n"))
-        .where("v IS NOT NULL").where(holds("low") | holds("high"))
-        .collect()  # at most two rows per bracket
-    )
-    ends: dict[tuple[int, int], dict[int, float]] = {}
-    for h in hits:
-        for rank in {h["low"], h["high"]}:
-            if h["first"] <= rank < h["last"]:
-                ends.setdefault((h["i"], h["j"]), {})[rank] = h["v"]
-    for i, j, _, _, low, high in brackets:
-        at = ends.get((i, j), {})
-        if low in at and high in at:
-            found[(i, j)] = at[low] + (at[high] - at[low]) * (positions[(i, j)] - low)
-    return found

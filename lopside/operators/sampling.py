@@ -214,6 +214,26 @@ def undersample(df: DataFrame, label: str, seed: int, key: str) -> DataFrame:
     return hashed.where(keep).drop("_d")
 
 
+def balanced_draws(
+    df: DataFrame, label: str, seeds: list[int], key: str, output: str = "draw"
+) -> DataFrame:
+    """``output`` says for each of ``seeds`` whether ``undersample`` keeps the row."""
+    counts = class_counts(df, label)
+    minority, majority = minority_class(counts)
+    numbers = F.array(*[F.lit(s) for s in seeds])
+    digest = lambda s: F.md5(F.concat_ws(":", s.cast("string"), F.col(key).cast("string")))
+    places = df.where(F.col(label) == majority).select(
+        key, F.posexplode(numbers).alias("place", "s")).select(key, "place", digest(F.col("s")).alias("d"))
+    n = len(seeds)
+    cuts = hash_cuts(places, "place", "d", key, dict.fromkeys(range(n), counts[majority]),
+                     dict.fromkeys(range(n), counts[minority]))
+    limits = F.array(*[F.lit(cuts[b].digest) for b in range(n)])
+    # One digest names one key, so comparing digests is enough.
+    kept = F.transform(F.arrays_zip(numbers.alias("s"), limits.alias("limit")), lambda z: (
+        (F.col(label) == minority) | (digest(z["s"]) <= z["limit"])))
+    return df.withColumn(output, kept)
+
+
 def _poisson_cdf() -> list[float]:
     """Cumulative Poisson(1) probabilities up to the resolution of the uniform
     numbers (32 bits): no draw they can make is cut off."""

@@ -10,11 +10,11 @@ from pyspark.ml import classification
 from pyspark.sql import DataFrame, SparkSession
 
 from lopside.learners import gnb, logit
-from lopside.learners.adaboost import BoostedTrees, EasyEnsemble
+from lopside.learners.bagging import ModelBags
 from lopside.learners.gnb import GaussianNB
+from lopside.learners.grow import TreeEnsemble
 from lopside.learners.logit import BaggedLogit
 from lopside.learners.neighbors import NeighborModel
-from lopside.learners.tree import ModelBags
 from lopside.operators.reduce import Projection
 from lopside.session import small_table
 from lopside.sources.tables import check_path
@@ -54,14 +54,9 @@ def _save_model(model, spark: SparkSession, path: str, mode: str) -> dict:
         return {}
     if isinstance(model, ModelBags):
         return {"features": model.features, "models": _save_ml(model.models, path, mode)}
-    if isinstance(model, BoostedTrees):
-        return {
-            "features": model.features, "says": model.says, "rounds": model.rounds,
-            "models": _save_ml(model.trees, path, mode),
-        }
-    if isinstance(model, EasyEnsemble):
-        members = [_save_model(m, spark, f"{path}/member={b}", mode) for b, m in enumerate(model.members)]
-        return {"features": model.features, "members": members}
+    if isinstance(model, TreeEnsemble):
+        model.to_table(spark).write.mode(mode).parquet(path)
+        return {"features": model.features, "link": model.link}
     if isinstance(model, NeighborModel):
         model.ref.write.mode(mode).parquet(path)
         plain = ("features", "k", "weighting", "p", "n_bags")
@@ -109,15 +104,8 @@ def _load_model(about: dict, spark: SparkSession, path: str):
         return logit.from_table(spark.read.parquet(path))
     if kind == "ModelBags":
         return ModelBags(about["features"], _load_ml(about["models"], path))
-    if kind == "BoostedTrees":
-        trees = _load_ml(about["models"], path)
-        return BoostedTrees(about["features"], trees, about["says"], about.get("rounds"))
-    if kind == "EasyEnsemble":
-        members = [
-            BoostedTrees(m["features"], _load_ml(m["models"], f"{path}/member={b}"), m["says"])
-            for b, m in enumerate(about["members"])
-        ]
-        return EasyEnsemble(about["features"], members)
+    if kind == "TreeEnsemble":
+        return TreeEnsemble.from_table(spark.read.parquet(path), about["features"], about["link"])
     if kind == "NeighborModel":
         plain = {name: about[name] for name in ("features", "k", "weighting", "p", "n_bags")}
         if "loadings" in about:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lopside.functions.features import engineer_features
 from lopside.operators import prepare as P
-from lopside.operators.quantiles import exact_quantiles
+from lopside.operators.quantiles import exact_quantiles, order_statistics
 from lopside.plans.prepare import fit_prepare, prepare
 from lopside.schema import DERIVED_FEATURES, FEATURES, KEY, LABEL, PATIENT_SCHEMA, RAW_FEATURES
 from lopside.sources.patient import patient
@@ -34,12 +34,16 @@ def test_quantiles_match_builtin(spark):
     assert got == pytest.approx(want, abs=1e-9)
 
 
-def test_quantiles_survive_a_useless_sketch(spark, monkeypatch):
-    import lopside.operators.quantiles as Q
-
-    monkeypatch.setattr(Q, "SKETCH_ACCURACY", 3)
-    df = spark.range(1001).select(F.col("id").cast("double").alias("v"))
-    assert exact_quantiles(df, ["v"], [0.5, 0.37])["v"] == pytest.approx([500.0, 370.0])
+def test_quantiles_of_awkward_values(spark):
+    values = [0.0, -0.0, -1.5, 1e300, -1e300, 5e-324, float("inf"), 2.0, 2.0, 2.0, None]
+    df = spark.createDataFrame([(v, None, 1.0) for v in values], "v double, none double, one double").repartition(3)
+    known = sorted(v for v in values if v is not None)
+    got = exact_quantiles(df, ["v", "none", "one"], [i / (len(known) - 1) for i in range(len(known))])
+    assert got["v"] == known and set(got["none"]) == {None} and set(got["one"]) == {1.0}
+    assert set(exact_quantiles(df, ["v", "one"], [0.5], only_with_nulls=True)) == {"v"}
+    cuts = order_statistics(df, ["v", "none", "one"], 5)
+    assert cuts["v"] == sorted({known[i * len(known) // 5] for i in range(1, 5)})
+    assert cuts["none"] == [] and cuts["one"] == [1.0]
 
 
 def test_scaler_uses_population_deviation(spark):
