@@ -87,6 +87,10 @@ def confusion(spark, d):
     return rounded(M.confusion_cells(predicted(spark, d)), ["share"])
 
 
+def confusion_labels(spark, d):
+    return M.confusion_labels(predicted(spark, d))
+
+
 def metrics(spark, d):
     return rounded(M.binary_metrics(predicted(spark, d)), FIVE)
 
@@ -227,6 +231,7 @@ QUERIES = {
     "q_leaderboard": leaderboard,
     "q_winners": winners,
     "q_report": report,
+    "q_confusion_labels": confusion_labels,
 }
 
 _pred = f"predicted AS (SELECT *, (p >= {CUT}e0)::INTEGER AS pred FROM scored)"
@@ -307,6 +312,12 @@ SELECT CASE WHEN pred = 1 THEN 'High Risk' ELSE 'Low Risk' END AS predicted_risk
         f"SELECT '{c}' AS cell, {c} AS n, round({c}::DOUBLE / (tn + fp + fn + tp), 6) AS share FROM cells"
         for c in ("tn", "fp", "fn", "tp")
     ),
+    "q_confusion_labels": f"WITH {_base} "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS cell, concat_ws(chr(10), '{c.upper()}', {c}::VARCHAR, "
+        f"printf('(%.1f%%)', {c}::DOUBLE / (tn + fp + fn + tp) * 100e0)) AS label FROM cells"
+        for c in ("tn", "fp", "fn", "tp")
+    ),
     "q_metrics": f"WITH {_base} SELECT tn, fp, fn, tp, {S.metrics_select()} FROM cells",
     "q_metrics_long": f"WITH {_base}, {S.auc_ctes('scored', 'area')} "
     + " UNION ALL ".join(

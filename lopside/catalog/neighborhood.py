@@ -139,6 +139,11 @@ def mutual_info(spark, d):
     return rounded(D.mutual_information(whole_features(spark, d), FEATURES, LABEL), ["mi"])
 
 
+def neighbor_info(spark, d):
+    found = D.neighbor_information(whole_features(spark, d), FEATURES, LABEL)
+    return rounded(found, ["mi"], 4)
+
+
 def select_k(spark, d):
     return D.select_k_best(mutual_info(spark, d), 10)
 
@@ -160,6 +165,7 @@ QUERIES = {
     "q_smotetomek": smotetomek,
     "q_pca": pca,
     "q_mutual_info": mutual_info,
+    "q_neighbor_info": neighbor_info,
     "q_select_k": select_k,
 }
 
@@ -233,6 +239,40 @@ info AS (
       sum(n) OVER (PARTITION BY feature, y) AS ny FROM counts)
   GROUP BY feature)"""
 
+def _psi(x: str) -> str:
+    z = f"({x}::DOUBLE + 6e0)"
+    back = "".join(f" - 1e0 / ({x}::DOUBLE + {i}e0)" for i in range(6))
+    return (f"(ln({z}) - 0.5e0 / {z} - (1e0 / ({z} * {z})) * (1e0 / 12e0 - (1e0 / ({z} * {z})) * "
+            f"(1e0 / 120e0 - (1e0 / ({z} * {z})) * (1e0 / 252e0))){back})")
+
+
+_neighbor_info = f"""{_whole},
+long AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {S.q(c)}::DOUBLE AS v, {_label} AS y FROM derived" for c in FEATURES
+) + f"""),
+cells AS (SELECT feature, y, v, count(*) AS n FROM long GROUP BY ALL),
+points AS (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY feature, y)::BIGINT AS size FROM cells) WHERE size > 1),
+around AS (
+  SELECT *, least({D.NEIGHBORS}, size - 1) AS k, list({{'w': v, 'c': n}}) OVER (PARTITION BY feature, y ORDER BY v
+    ROWS BETWEEN {D.NEIGHBORS} PRECEDING AND {D.NEIGHBORS} FOLLOWING) AS near FROM points),
+others AS (
+  SELECT feature, y, v, k, abs(o.w - v) AS d, o.c - CASE WHEN o.w = v THEN 1 ELSE 0 END AS c
+  FROM (SELECT feature, y, v, k, unnest(near) AS o FROM around)),
+reached AS (
+  SELECT feature, y, v, min(d) AS r FROM (
+    SELECT *, sum(c) OVER (PARTITION BY feature, y, v ORDER BY d, c ROWS UNBOUNDED PRECEDING) AS seen FROM others WHERE c > 0)
+  WHERE seen >= k GROUP BY feature, y, v),
+asked AS (SELECT a.feature, a.y, a.v, a.n, a.k, a.size, r, v - r AS lo, v + r AS hi FROM around a JOIN reached USING (feature, y, v)),
+upto AS (SELECT feature, v AS at, sum(sum(n)) OVER (PARTITION BY feature ORDER BY v) AS c, sum(n) AS own FROM points GROUP BY feature, v),
+high AS (SELECT q.*, u.c AS c_hi FROM asked q ASOF LEFT JOIN upto u ON u.feature = q.feature AND q.hi > u.at),
+low AS (SELECT q.*, u.c AS c_lo FROM high q ASOF LEFT JOIN upto u ON u.feature = q.feature AND q.lo >= u.at),
+counted AS (
+  SELECT q.*, CASE WHEN r > 0 THEN coalesce(c_hi, 0) - coalesce(c_lo, 0) ELSE own END AS m
+  FROM low q JOIN upto u ON u.feature = q.feature AND u.at = q.v),
+information AS (
+  SELECT feature, greatest(0e0, {_psi('sum(n)')} + sum(n * {_psi('k')}) / sum(n) - sum(n * {_psi('size')}) / sum(n)
+    - sum(n * {_psi('m')}) / sum(n)) AS mi FROM counted GROUP BY feature)"""
+
 ORACLES = {
     "q_knn_l1": f"WITH {near_embedded(_L1, 5)} SELECT q, r, round(dist, 6) AS dist, y, rank::INTEGER AS rank FROM near",
     "q_knn_l2": f"WITH {near_embedded(_L2, 5)} SELECT q, r, round(dist, 6) AS dist, y, rank::INTEGER AS rank FROM near",
@@ -266,5 +306,6 @@ LEFT JOIN near b ON b.q = a.r AND b.r = a.q AND b.yq <> a.yq WHERE b.q IS NULL""
     "q_tomek_pairs": f"""WITH {near_embedded(_L2, 1)} SELECT a.q AS a, a.r AS b FROM near a
 JOIN near b ON b.q = a.r AND b.r = a.q AND b.yq <> a.yq WHERE a.q < a.r""",
     "q_mutual_info": f"WITH {_mutual} SELECT * FROM info",
+    "q_neighbor_info": f"WITH {_neighbor_info} SELECT feature, round(mi, 4) + 0e0 AS mi FROM information",
     "q_select_k": f"WITH {_mutual} SELECT * FROM info ORDER BY mi DESC, feature LIMIT 10",
 }

@@ -122,6 +122,23 @@ def prepared_profile(spark, d):
     return class_profile(fit_prepare(patient(spark, d)))
 
 
+def two_tables(spark, d):
+    rows = patient(spark, d)
+    return rows.where(F.col(KEY) % 5 != 0), rows.where(F.col(KEY) % 5 == 0)
+
+
+def prepared_tables(spark, d):
+    """Training and test rows that come as two tables; every fifth key is the latter."""
+    train, test = two_tables(spark, d)
+    return rounded(fit_prepare(train, test=test).table, FEATURES, 5)
+
+
+def prepared_smote(spark, d):
+    """The same, with the train part balanced by synthetic rows."""
+    train, test = two_tables(spark, d)
+    return rounded(fit_prepare(train, test=test, oversample=True).table, FEATURES, 4)
+
+
 def preview(spark, d):
     return P.preview(scored_patients(spark, d), 10, KEY)
 
@@ -153,6 +170,8 @@ QUERIES = {
     "q_attach_params": attach_params,
     "q_prepared": prepared,
     "q_prepared_profile": prepared_profile,
+    "q_prepared_tables": prepared_tables,
+    "q_prepared_smote": prepared_smote,
     "q_preview": preview,
     "q_stack": stack,
 }
@@ -162,6 +181,14 @@ _raw = ", ".join(S.q(c) for c in RAW_FEATURES)
 _four = ["age", "sysBP", "diaBP", "heartRate"]
 _line = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
+_tables = f"""{S.PATIENT}, own AS (SELECT * FROM patient WHERE pid % 5 <> 0),
+{S.split_cte('own', 'marked', _label, '0.15', 42, 'train', 'val')},
+tagged AS (SELECT * FROM marked UNION ALL SELECT *, 'test' AS split FROM patient WHERE pid % 5 = 0),
+{S.imputed_cte()}, {S.with_features('imputed', 'derived')}, {S.scaled_cte()}"""
+_apart = " + ".join(f"pow(a.{S.q(c)} - b.{S.q(c)}, 2)" for c in FEATURES)
+_between = ", ".join(
+    f"round(a.{S.q(c)} + u * (b.{S.q(c)} - a.{S.q(c)}), 4) + 0e0 AS {S.q(c)}" for c in FEATURES)
+
 ORACLES = {
     "q_scan": "SELECT o_orderkey, o_custkey, round(o_totalprice, 2) AS o_totalprice, o_orderstatus, o_orderpriority FROM orders",
     "q_patient": f"WITH {S.PATIENT} SELECT * FROM patient",
@@ -212,6 +239,24 @@ SELECT l_orderkey, l_linenumber, {S.rounded(_line, 4)} FROM scaled""",
     "q_prepared": f"WITH {S.prepared_ctes()} SELECT pid, {_label}, split, {S.rounded(FEATURES, 5)} FROM scaled",
     "q_prepared_profile": f"""WITH {S.PATIENT}, {S.three_way_cte()}
 SELECT split, {_label} AS class, count(*) AS n FROM tagged GROUP BY 1, 2""",
+    "q_prepared_tables": f"WITH {_tables} SELECT pid, {_label}, split, {S.rounded(FEATURES, 5)} FROM scaled",
+    "q_prepared_smote": f"""WITH {_tables},
+few AS MATERIALIZED (SELECT * FROM scaled WHERE split = 'train' AND {_label} = 1),
+size AS (SELECT count(*) FILTER ({_label} = 1) AS n_min,
+    count(*) FILTER ({_label} = 0) - count(*) FILTER ({_label} = 1) AS n_new FROM scaled WHERE split = 'train'),
+near AS MATERIALIZED (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, r) AS rank FROM (
+    SELECT a.pid AS q, b.pid AS r, {_apart} AS dist FROM few a JOIN few b ON a.pid <> b.pid)) WHERE rank <= 5),
+planned AS (
+  SELECT pid, n_new // n_min + CASE WHEN row_number() OVER (ORDER BY {S.digest(42, 'pid')}, pid) <= n_new % n_min THEN 1 ELSE 0 END AS n
+  FROM few, size),
+copies AS (
+  SELECT pid, copy, (('0x' || substr({S.digest(42, 'pid', 'copy')}, 1, 8))::BIGINT % 5) + 1 AS rank,
+    {S.uniform(S.digest(43, 'pid', 'copy'))} AS u
+  FROM planned, unnest(range(1, n + 1)) AS t(copy))
+SELECT c.pid || '#' || copy AS sid, 1::INTEGER AS {_label}, 'train' AS split, {_between}
+FROM copies c JOIN near ON near.q = c.pid AND near.rank = c.rank JOIN few a ON a.pid = c.pid JOIN few b ON b.pid = near.r
+UNION ALL SELECT pid::VARCHAR, {_label}, split, {S.rounded(FEATURES, 4)} FROM scaled""",
     "q_preview": f"WITH {S.SCORED} SELECT * FROM scored ORDER BY pid LIMIT 10",
     "q_stack": f"WITH {S.SCORED} SELECT pid, y FROM scored WHERE p >= 0.5e0 UNION ALL SELECT pid, y FROM scored WHERE p < 0.5e0",
 }

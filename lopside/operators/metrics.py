@@ -10,9 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Distinct scores are split over this many quantile buckets before running
-# sums, as CUT_FANOUT groups of CUT_FANOUT.
-CUT_FANOUT = 32
+from lopside.operators.running import running_sums
 
 METRICS = ["accuracy", "precision", "recall", "f1", "mcc"]
 
@@ -57,6 +55,14 @@ def confusion_cells(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFram
     return cells.withColumn("share", zero_if_undefined(F.col("n"), total))
 
 
+def confusion_labels(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
+    """(cell, label): each cell of the matrix as text, its name, its count and
+    its share in percent with one decimal, a line each. Without rows the share is 0."""
+    percent = F.format_string("(%.1f%%)", F.col("share") * 100.0)
+    return confusion_cells(df, y, pred).select(
+        "cell", F.concat_ws("\n", F.upper("cell"), F.col("n").cast("string"), percent).alias("label"))
+
+
 def zero_if_undefined(top: Column, bottom: Column) -> Column:
     """A ratio that is 0 where the denominator is 0."""
     return F.coalesce(
@@ -97,10 +103,9 @@ def roc_auc(
 ) -> DataFrame:
     """Exact area under the ROC curve per group; ties count half.
 
-    Rows collapse to distinct scores first. Running sums then go in two
-    levels: quantile cut points split the distinct scores evenly into buckets,
-    totals run over buckets, and a window runs only inside a bucket, so no
-    group or score region lands in one task whole.
+    Rows collapse to distinct scores first, and the negatives below each score
+    are a running sum over parts of bounded size, so no group or score region
+    lands in one task whole.
     """
     by = by or []
     scores = (
@@ -111,64 +116,15 @@ def roc_auc(
             F.count_if(F.col(y) == 0).alias("neg"),
         )
     )
-    bucketed = _bucket_by_quantile(scores, "s")
-    inside = Window.partitionBy(*by, "bucket").orderBy("s").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    # Per bucket: positives, negatives, and pairs ordered rightly inside it.
-    pairs = F.col("pos") * (
-        F.coalesce(F.sum("neg").over(inside), F.lit(0)) + F.lit(0.5) * F.col("neg")
-    )
-    buckets = (
-        bucketed.withColumn("pairs", pairs)
-        .groupBy(*by, "bucket")
-        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("pairs").alias("pairs"))
-    )
-    before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    ordered = F.col("pairs") + F.col("pos") * F.coalesce(
-        F.sum("neg").over(before), F.lit(0)
-    ).cast("double")
-    total = (
-        buckets.withColumn("ordered", ordered)
-        .groupBy(*by)
-        .agg(F.sum("ordered").alias("o"), F.sum("pos").alias("pn"), F.sum("neg").alias("nn"))
-    )
+    below = F.col("neg_upto") - F.lit(0.5) * F.col("neg")
+    total = running_sums(scores, by, ["s"], ["neg"]).groupBy(*by).agg(
+        F.sum(F.col("pos") * below).alias("o"), F.sum("pos").alias("pn"), F.sum("neg").alias("nn"))
     area = F.try_divide(
         F.col("o"), F.col("pn").cast("double") * F.col("nn").cast("double")
     )
     return total.select(*by, area.alias("auc"))
 
 
-def _bucket_by_quantile(df: DataFrame, value: str) -> DataFrame:
-    """Add ``bucket``, increasing in ``value``, about equal in rows.
-
-    The cut points are one row of CUT_FANOUT**2 numbers. Any cut points give
-    right results; their quality only affects balance.
-    """
-    n = CUT_FANOUT * CUT_FANOUT
-    fractions = [i / n for i in range(1, n)]
-    cuts = df.agg(F.percentile_approx(value, fractions, 10 * n).alias("cuts"))
-    groups = cuts.select(
-        F.expr(f"transform(sequence(1, {CUT_FANOUT - 1}), i -> cuts[i * {CUT_FANOUT} - 1])")
-        .alias("coarse"),
-        F.expr(
-            f"transform(sequence(0, {CUT_FANOUT - 1}),"
-            f" i -> slice(cuts, i * {CUT_FANOUT} + 1, {CUT_FANOUT - 1}))"
-        ).alias("fine"),
-    )
-    at_most = lambda cuts: F.size(F.filter(cuts, lambda c: c <= F.col(value)))
-    coarse = at_most(F.col("coarse"))
-    fine = at_most(F.element_at("fine", F.col("_c") + 1))
-    return (
-        df.crossJoin(F.broadcast(groups))  # one row
-        .withColumn("_c", coarse)
-        .withColumn("bucket", F.col("_c") * CUT_FANOUT + fine)
-        .drop("coarse", "fine", "_c")
-    )
-
-
 def classification_report(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
     """Per-class rows, accuracy, macro and weighted averages."""
     counts = confusion(df, y, pred)
