@@ -15,7 +15,9 @@ the A ids that share a B id.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 
 import numpy as np
 import pandas as pd
@@ -31,6 +33,17 @@ from lopside.session import materialize
 BATCH_BYTES = 1 << 20
 BLOCK_BYTES = 16 << 20
 
+CACHED_PIECES = 250_000  # pieces of text whose tokens a worker keeps
+CACHED_LENGTH = 48  # letters of a piece that is kept
+
+#: What any notion of white space or of invisible signs could hold.
+_UNSAFE = r"\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u2581\u3000\ufeff"
+#: A single space between two solid characters. Both kinds of tokenizer start a
+#: token there and never join what is left and right of it (``_cuts_hold``).
+_CUT = re.compile(f"(?<=[^{_UNSAFE}]) (?=[^{_UNSAFE}])")
+_SOLID = re.compile(f"[^{_UNSAFE}]")
+JOINED = 1 << 16  # letters of pieces that are encoded as one text
+
 _loaded: dict[bytes, "Tokenizers"] = {}
 
 
@@ -71,6 +84,20 @@ class Tokenizers:
         self.a_said = [np.array([f"{i}{s}" for i in range(len(self.a_bytes))], dtype=object) for s in ",|"]
         self.b_said = [np.array([f"{i}{s}" for i in range(len(self.b_bytes))], dtype=object) for s in ",;"]
 
+        self.split = self._cuts_hold(json.loads(a_json))
+        self.known: dict[str, tuple | None] = {}
+
+    def _cuts_hold(self, a: dict) -> bool:
+        """Whether texts may be encoded piece by piece: A splits by the byte-level
+        pattern, which takes a space with the word after it, and no piece of B has
+        a space after something else."""
+        before = a.get("pre_tokenizer") or {}
+        inner = re.compile("[^▁]▁")
+        return (a.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", False)
+                and not before.get("add_prefix_space", True)
+                and not any(" " in t["content"] for t in a.get("added_tokens", []))
+                and not any(inner.search(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())))
+
     @staticmethod
     def load(a_json: bytes, b_model: bytes) -> "Tokenizers":
         """One instance per worker process and pair of files."""
@@ -79,25 +106,81 @@ class Tokenizers:
             _loaded[key] = Tokenizers(a_json, b_model)
         return _loaded[key]
 
-    def encode(self, texts: list[str | None]) -> tuple[list, list]:
-        """Ids of both sides. A text without bytes, or whose tokens do not spell
-        a space and the text on both sides, has none."""
-        a_ids = [e.ids for e in self.a.encode_batch_fast([" " + (t or "") for t in texts], add_special_tokens=False)]
-        b_ids = self.b.encode([t or "" for t in texts], num_threads=1)
-        for i, text in enumerate(texts):
-            want = b" " + text.encode() if text else None
-            if (want is None or b"".join([self.a_bytes[t] for t in a_ids[i]]) != want
-                    or b"".join([self.b_bytes[t] for t in b_ids[i]]) != want):
-                a_ids[i], b_ids[i] = [], []
-        return a_ids, b_ids
-
-
-def _tokens(ids: list[list[int]], length: np.ndarray) -> pd.DataFrame:
+    def _pieces(self, text: str) -> list[str]:
+        """Space + text, cut where no token can span; every piece starts with its space."""
+        if not self.split:
+            return [" " + text]
+        first, *rest = _CUT.split(" " + text)
+        return [first, *[" " + p for p in rest]]
+
+    def _learn(self, group: list[str]) -> None:
+        """Encode pieces, joined: no token spans the cut between two of them."""
+        if not group:
+            return
+        text = "".join(group)
+        spelled = text.encode()
+        ends = np.cumsum([len(p.encode()) for p in group]) if len(group) > 1 else np.array([len(spelled)])
+        sides = []
+        for ids, length, spell in (
+                (self.a.encode(text, add_special_tokens=False).ids, self.a_length, self.a_bytes),
+                (self.b.encode(text[1:]), self.b_length, self.b_bytes)):
+            if b"".join([spell[t] for t in ids]) != spelled:
+                break
+            packed = np.array(ids, dtype=np.uint32)
+            token_ends = np.cumsum(length[packed])
+            at = np.searchsorted(token_ends, ends)
+            if not np.array_equal(token_ends[at], ends):
+                break
+            # Bytes, not lists: the garbage collector does not visit them.
+            raw, at = packed.tobytes(), 4 * (at + 1)
+            sides.append([raw[x:y] for x, y in zip([0, *at[:-1].tolist()], at.tolist())])
+        if len(sides) == 2:
+            self.known.update(zip(group, zip(*sides)))
+        elif len(group) == 1:
+            self.known[group[0]] = None
+        else:
+            for p in group:
+                self._learn([p])
+
+    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of both sides, packed four bytes each. A text without bytes, or
+        whose tokens do not spell a space and the text on both sides, has none.
+        Each distinct piece of the texts is encoded once."""
+        pieces = [self._pieces(t) if t else [] for t in texts]
+        known = self.known
+        fresh = list({p for row in pieces for p in row if p not in known})
+        group, size = [], 0
+        for p in fresh:
+            if len(p) > 1 and _SOLID.match(p, 1) and _SOLID.match(p, len(p) - 1):
+                group.append(p)
+                size += len(p)
+                if size > JOINED:
+                    self._learn(group)
+                    group, size = [], 0
+            else:
+                self._learn([p])
+        self._learn(group)
+        out = ([], [])
+        for row in pieces:
+            found = [known[p] for p in row]
+            fits = None not in found
+            for side in (0, 1):
+                out[side].append(b"".join([f[side] for f in found]) if fits else b"")
+        if len(known) > CACHED_PIECES:
+            known.clear()
+        else:
+            for p in fresh:
+                if len(p) > CACHED_LENGTH:
+                    del known[p]
+        return out
+
+
+def _tokens(ids: list[bytes], length: np.ndarray) -> pd.DataFrame:
     """Tokens of a batch in order: document, id, and byte range in the batch."""
-    flat = np.fromiter((t for row in ids for t in row), dtype=np.int64, count=sum(map(len, ids)))
+    flat = np.frombuffer(b"".join(ids), dtype=np.uint32).astype(np.int64)
     end = np.cumsum(length[flat])
     return pd.DataFrame({
-        "doc": np.repeat(np.arange(len(ids)), [len(row) for row in ids]),
+        "doc": np.repeat(np.arange(len(ids)), [len(row) // 4 for row in ids]),
         "id": flat, "start": end - length[flat], "end": end, "at": np.arange(len(flat))})
 
 

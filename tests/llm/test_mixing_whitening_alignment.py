@@ -247,6 +247,23 @@ def test_alignment_equals_brute_force(spark, texts, brute, monkeypatch):
     assert {r.doc_id: r for r in align.aligned_documents(texts, A_JSON, B_MODEL).collect()} == got
 
 
+def test_pieces_spell_whole_texts(monkeypatch):
+    """Piece by piece gives the ids of the whole text, also around odd white space."""
+    rnd = random.Random(11)
+    letters = ["a", "Bc", "é", "中", "1", "23", "'s", "'", ".", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0",
+               "\u2009", "\u3000", "\u200b", "\ufeff", "🙂", "ﬁ", "<|endoftext|>", "<s>", "_", "e\u0301", "\u0600"]
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 40))) for _ in range(4000)]
+    held = align.Tokenizers(A_JSON, B_MODEL)
+    assert held.split
+    monkeypatch.setattr(align, "CACHED_PIECES", 500)
+    got = [held.encode(texts[i : i + 100]) for i in range(0, len(texts), 100)]
+    whole = align.Tokenizers(A_JSON, B_MODEL)
+    whole.split = False
+    want = [whole.encode(texts[i : i + 100]) for i in range(0, len(texts), 100)]
+    assert got == want
+    assert sum(bool(x) for a, _ in got for x in a) > 3000
+
+
 def test_overlaps_equal_brute_force(spark, texts, brute):
     got = Counter(tuple(r) for r in align.overlaps(texts, A_JSON, B_MODEL).collect())
     want = Counter()
