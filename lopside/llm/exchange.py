@@ -53,24 +53,29 @@ def shard_bits(keys: int, per_shard: int = 1 << 20) -> int:
     return max(4, math.ceil(math.log2(max(1, keys / per_shard))))
 
 
-def pack(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def pack(keys: np.ndarray, bits: int, width: int = PACKED) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """(shards, first key of each and the end, packed keys) of sorted keys.
 
-    ``bits`` + 40 leading bits of a key are kept: two keys fall together with a
-    probability of about (keys in a shard) / 2**40.
+    ``bits`` + 8 * ``width`` leading bits of a key are kept. With 40, two keys fall
+    together with a probability of about (keys in a shard) / 2**40, which is for
+    uses that a needless answer does not harm; 8 bytes keep the whole key.
     """
     shard = (keys >> np.uint64(64 - bits)).astype(np.int64)
     present, first = np.unique(shard, return_index=True)
     ends = np.append(first, len(keys))
-    low = (keys << np.uint64(bits)) >> np.uint64(64 - 8 * PACKED)
-    raw = np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PACKED])
-    return present, ends, [raw[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+    low = (keys << np.uint64(bits)) >> np.uint64(64 - 8 * width)
+    return present, ends, [narrow(low[a:b], width) for a, b in zip(ends[:-1], ends[1:])]
 
 
-def unpack(body: bytes) -> np.ndarray:
-    raw = np.frombuffer(body, dtype=np.uint8).reshape(-1, PACKED)
+def narrow(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each number."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpack(body: bytes, width: int = PACKED) -> np.ndarray:
+    raw = np.frombuffer(body, dtype=np.uint8).reshape(-1, width)
     wide = np.zeros((len(raw), 8), dtype=np.uint8)
-    wide[:, :PACKED] = raw
+    wide[:, :width] = raw
     return wide.view("<u8").ravel()
 
 
@@ -124,6 +129,22 @@ def planes(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
+def counts_of(values: np.ndarray) -> bytes:
+    """Whole numbers by byte significance, as many bytes as the largest needs;
+    how many numbers there are is for the reader to know."""
+    values = np.asarray(values).astype("<u8")
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def read_counts(body: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """(n numbers written by ``counts_of``, where they end in ``body``)."""
+    width, at = body[at], at + 1
+    wide = np.zeros((n, 8), dtype=np.uint8)
+    wide[:, :width] = np.frombuffer(body, dtype=np.uint8, count=width * n, offset=at).reshape(width, n).T
+    return wide.view("<u8").ravel(), at + width * n
+
+
 def from_planes(body: bytes) -> np.ndarray:
     raw = np.frombuffer(body, dtype=np.uint8).reshape(4, -1)
     return np.ascontiguousarray(raw.T).view("<u4").ravel()

@@ -17,7 +17,9 @@ The count tables are partitioned by a hash of the history: a shard holds all
 words seen after its histories, as packed arrays, which is what alpha needs.
 Blocks of documents send their distinct words and pairs with training counts,
 shards merge them and answer with corpus counts, and blocks evaluate
-the recursion for every token of their texts.
+the recursion for every token of their texts. Words meet by 64-bit hashes; the
+answer numbers each word within its shard, and pairs are pairs of these numbers,
+so no two of them fall together. Counts have 64 bits.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from lopside.llm import kernel
 U64 = np.uint64
 K = 5  # counts up to K are discounted
 END, START = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
+PLACE_BITS = 24  # of a word's number within its shard; the last number is the start
+WORD_BYTES, PLACE_BYTES = 5, 3
 _ANSWER = "block int, shard int, level int, body binary, counts array<double>"
 
 
@@ -132,37 +136,55 @@ def _ask_words(bits: int):
         token, _, _, learn = _block(docs)
         words, inverse = np.unique(token, return_inverse=True)
         counts = np.bincount(inverse, learn, minlength=len(words))
-        shards, ends, bodies = X.pack(words, bits)
-        extras = [X.planes(counts[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+        shards, ends, bodies = X.pack(words, bits, 8)
+        extras = [X.counts_of(counts[a:b]) for a, b in zip(ends[:-1], ends[1:])]
         return X.asked(key[0].as_py(), shards, bodies, extras)
     return ask
 
 
 def _count_words(key, table):
-    keys = [X.unpack(b) for b in table.column("body").to_pylist()]
-    counts = [X.from_planes(b) for b in table.column("extra").to_pylist()]
-    _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    """Per block: corpus counts of its words, and their numbers in the shard."""
+    keys = [X.unpack(b, 8) for b in table.column("body").to_pylist()]
+    counts = [X.read_counts(b, 0, len(k))[0] for b, k in zip(table.column("extra").to_pylist(), keys)]
+    known, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    if len(known) >= (1 << PLACE_BITS) - 1:
+        raise OverflowError("more words in a shard than its numbers")
     total = np.bincount(inverse, np.concatenate(counts).astype(float))
     out, at = [], 0
     for k in keys:
-        out.append(X.planes(total[inverse[at : at + len(k)]]))
+        mine = inverse[at : at + len(k)]
+        out.append(X.narrow(mine, PLACE_BYTES) + X.counts_of(total[mine]))
         at += len(k)
     return _answers(table.column("block").to_pylist(), key[0].as_py(), 1, out, _stats(total, True))
 
 
 def _told(told: pa.Table, level: int):
-    """(rows of answers in shard order, statistics) of one level."""
+    """((shard, body) in shard order, statistics) of one level."""
     mine = told.filter(pc.equal(told.column("level"), level))
     stats = mine.filter(pc.is_valid(mine.column("counts"))).column("counts")
     rows = mine.filter(pc.is_null(mine.column("counts")))
     rows = sorted(zip(rows.column("shard").to_pylist(), rows.column("body").to_pylist()), key=lambda r: r[0])
-    return [b for _, b in rows], np.array(stats[0].as_py() if len(stats) else [0.0] * (K + 3))
+    return rows, np.array(stats[0].as_py() if len(stats) else [0.0] * (K + 3))
 
 
-def _word_counts(words: np.ndarray, told: pa.Table):
-    bodies, stats = _told(told, 1)
-    found = np.concatenate([X.from_planes(b) for b in bodies] or [np.zeros(0)]).astype(np.int64)
-    return found, Unigrams(stats), stats
+def _word_counts(words: np.ndarray, bits: int, told: pa.Table):
+    """(counts, numbers) of the block's words, in their order, and statistics."""
+    rows, stats = _told(told, 1)
+    sizes = np.bincount((words >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    counts, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for shard, body in rows:
+        n = int(sizes[shard])
+        places = X.unpack(body[: PLACE_BYTES * n], PLACE_BYTES).astype(np.int64)
+        numbers.append(shard << PLACE_BITS | places)
+        counts.append(X.read_counts(body, PLACE_BYTES * n, n)[0].astype(np.int64))
+    return np.concatenate(counts), np.concatenate(numbers), Unigrams(stats), stats
+
+
+def _numbered(token, history, words, numbers, bits: int):
+    """Tokens and histories as word numbers."""
+    start = int(START >> U64(64 - bits)) << PLACE_BITS | (1 << PLACE_BITS) - 1
+    of = lambda w: numbers[np.minimum(np.searchsorted(words, w), len(words) - 1)]
+    return of(token), np.where(history == START, start, of(history))
 
 
 def _ask_pairs(bits: int):
@@ -171,21 +193,22 @@ def _ask_pairs(bits: int):
             return X.asked(0, [], [])
         token, history, _, learn = _block(docs)
         words = np.unique(token)
-        counts, _, stats = _word_counts(words, told)
+        counts, numbers, _, stats = _word_counts(words, bits, told)
+        token, history = _numbered(token, history, words, numbers, bits)
         h, w, _, seen = _distinct_pairs(history, token, learn)
         hs, first = np.unique(h, return_index=True)
         edge = np.append(first, len(h))
-        shards, ends, packed = X.pack(hs, bits)
-        w40 = np.ascontiguousarray(
-            (w >> U64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : X.PACKED])
-        cw = counts[np.searchsorted(words, w)]
-        bodies, extras = [], []
-        for body, a, b in zip(packed, ends[:-1], ends[1:]):
+        shards, ends = np.unique(hs >> PLACE_BITS, return_index=True)
+        ends = np.append(ends, len(hs))
+        cw = counts[np.searchsorted(numbers, w)]
+        bodies = []
+        for a, b in zip(ends[:-1], ends[1:]):
             i, j = edge[a], edge[b]
-            bodies.append(body + X.planes(np.diff(edge[a : b + 1])))
-            extras.append(stats.astype("<f8").tobytes() + w40[i:j].tobytes()
-                          + X.planes(seen[i:j]) + X.planes(cw[i:j]))
-        return X.asked(key[0].as_py(), shards, bodies, extras)
+            bodies.append(
+                stats.astype("<f8").tobytes() + np.array([b - a, j - i], dtype="<i8").tobytes()
+                + X.narrow(hs[a:b] & ((1 << PLACE_BITS) - 1), PLACE_BYTES) + X.narrow(w[i:j], WORD_BYTES)
+                + X.counts_of(np.diff(edge[a : b + 1])) + X.counts_of(seen[i:j]) + X.counts_of(cw[i:j]))
+        return X.asked(key[0].as_py(), shards, bodies)
     return ask
 
 
@@ -194,17 +217,19 @@ def _count_pairs(key, table):
     words seen 1 .. K times after it, and the sum of their P(w)."""
     hs, ws, counts, cws, sizes = [], [], [], [], []
     head = 8 * (K + 3)
-    for body, extra in zip(table.column("body").to_pylist(), table.column("extra").to_pylist()):
-        n = len(body) // (X.PACKED + 4)
-        h, degree = X.unpack(body[: n * X.PACKED]), X.from_planes(body[n * X.PACKED :])
-        m = (len(extra) - head) // (X.PACKED + 8)
-        cut = head + m * X.PACKED
-        hs.append(np.repeat(h, degree))
-        ws.append(X.unpack(extra[head:cut]))
-        counts.append(X.from_planes(extra[cut : cut + 4 * m]))
-        cws.append(X.from_planes(extra[cut + 4 * m :]))
+    for body in table.column("body").to_pylist():
+        n, m = (int(v) for v in np.frombuffer(body, dtype="<i8", count=2, offset=head))
+        at = head + 16
+        h = X.unpack(body[at : at + PLACE_BYTES * n], PLACE_BYTES)
+        at += PLACE_BYTES * n
+        ws.append(X.unpack(body[at : at + WORD_BYTES * m], WORD_BYTES))
+        degree, at = X.read_counts(body, at + WORD_BYTES * m, n)
+        seen, at = X.read_counts(body, at, m)
+        hs.append(np.repeat(h, degree.astype(np.int64)))
+        counts.append(seen)
+        cws.append(X.read_counts(body, at, m)[0])
         sizes.append((h, m))
-    unigrams = Unigrams(np.frombuffer(extra[:head], dtype="<f8"))
+    unigrams = Unigrams(np.frombuffer(body[:head], dtype="<f8"))
     h, w = np.concatenate(hs), np.concatenate(ws)
     order = np.lexsort((w, h))
     sh, sw = h[order], w[order]
@@ -223,32 +248,32 @@ def _count_pairs(key, table):
     out, at = [], 0
     for mine, m in sizes:
         g = np.searchsorted(known, mine)
-        out.append(np.array([m, len(mine)], dtype="<i8").tobytes() + X.planes(total[of_pair[at : at + m]])
-                   + X.planes(of_history[g]) + b"".join(X.planes(f[g]) for f in few)
+        out.append(np.array([m, len(mine)], dtype="<i8").tobytes() + X.counts_of(total[of_pair[at : at + m]])
+                   + X.counts_of(of_history[g]) + b"".join(X.counts_of(f[g]) for f in few)
                    + mass[g].astype("<f8").tobytes())
         at += m
     return _answers(table.column("block").to_pylist(), key[0].as_py(), 2, out, _stats(total, False))
 
 
-def _pair_answers(bodies):
+def _pair_answers(rows):
     parts = [[] for _ in range(K + 3)]
-    for body in bodies:
-        m, n = np.frombuffer(body[:16], dtype="<i8")
+    for _, body in rows:
+        m, n = (int(v) for v in np.frombuffer(body, dtype="<i8", count=2))
         at = 16
         for i, size in enumerate([m] + [n] * (K + 1)):
-            parts[i].append(X.from_planes(body[at : at + 4 * size]).astype(float))
-            at += 4 * size
-        parts[-1].append(np.frombuffer(body[at:], dtype="<f8"))
+            found, at = X.read_counts(body, at, size)
+            parts[i].append(found.astype(float))
+        parts[-1].append(np.frombuffer(body, dtype="<f8", offset=at))
     return [np.concatenate(p or [np.zeros(0)]) for p in parts]
 
 
-def _score(docs, told):
+def _score(docs, told, bits: int):
     token, history, pointers, learn = _block(docs)
     words, inverse = np.unique(token, return_inverse=True)
-    counts, unigrams, _ = _word_counts(words, told)
-    h, _, of_token, _ = _distinct_pairs(history, token, learn)
-    bodies, stats = _told(told, 2)
-    pair_count, of_history, *few, mass = _pair_answers(bodies)
+    counts, numbers, unigrams, _ = _word_counts(words, bits, told)
+    h, _, of_token, _ = _distinct_pairs(*_numbered(token, history, words, numbers, bits)[::-1], learn)
+    rows, stats = _told(told, 2)
+    pair_count, of_history, *few, mass = _pair_answers(rows)
     d = discounts(np.concatenate([[0.0], stats[2 : K + 3]]))
     freed = sum((r * few[r - 1] * (1 - d[r]) for r in range(1, K + 1)), np.zeros(len(mass)))
     total = np.where(freed > 1e-9, of_history, of_history + 1)
@@ -298,7 +323,7 @@ def katz_scores(docs: DataFrame, learn: Column) -> DataFrame:
     blocks = max(1, -(-2 * size // (3 * X.BLOCK_BYTES)))
     blocked = X.in_blocks(rows, size, blocks=blocks, learn=F.coalesce(learn, F.lit(False)))
     by_block = blocked.groupBy("block")
-    bits = X.shard_bits(size // 6)
+    bits = min(X.shard_bits(size // 6), 8 * WORD_BYTES - PLACE_BITS)
     asked = by_block.applyInArrow(_ask_words(bits), X.ASKED)
     words = _with_totals(asked.groupBy("shard").applyInArrow(_count_words, _ANSWER), blocks)
     asked = by_block.cogroup(words.groupBy("block")).applyInArrow(_ask_pairs(bits), X.ASKED)
@@ -308,4 +333,5 @@ def katz_scores(docs: DataFrame, learn: Column) -> DataFrame:
         T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
         T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()),
         T.StructField("score", T.DoubleType())])
-    return by_block.cogroup(words.unionAll(pairs).groupBy("block")).applyInArrow(_score, schema)
+    return by_block.cogroup(words.unionAll(pairs).groupBy("block")).applyInArrow(
+        lambda docs, told: _score(docs, told, bits), schema)

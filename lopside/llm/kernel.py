@@ -1,8 +1,10 @@
 """Vectorised text kernels for tasks: one Arrow batch of texts at a time.
 
 Texts are handled as one UTF-8 byte array with document offsets, so nothing
-here loops over words. Hashes are 64 bits: a polynomial over random byte
-values modulo 2**64, finished by an avalanche mix.
+here loops over words. Hashes are 64 bits: a span is cut into pieces of PIECE
+bytes, a piece's polynomial over random byte values modulo 2**64 is mixed with
+its place, and the mixed pieces are added up. (One polynomial over a long span
+would let two-letter patterns of 2**10 bytes meet, whatever its base.)
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+PIECE = 32
 SEGMENT = 1 << 20  # bytes hashed at a time; bounds the scratch arrays
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -25,7 +28,9 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 _random = np.random.Generator(np.random.PCG64(20240501))
 BYTE_VALUE = _random.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+OTHER_VALUE = np.random.Generator(np.random.PCG64(20240502)).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 MULTIPLIERS = _random.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
+_PLACE, _LENGTH = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 BASE = int(_random.integers(2**62, 2**63)) | 5
 INVERSE = pow(BASE, -1, 2**64)
 
@@ -83,8 +88,9 @@ def word_spans(low: np.ndarray, offsets: np.ndarray, table: np.ndarray):
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span (spans ascending and disjoint)."""
+def span_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUE) -> np.ndarray:
+    """64-bit hash of each span (spans ascending and disjoint); other ``values``
+    give an independent one."""
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
@@ -95,9 +101,21 @@ def span_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         if size > SEGMENT:
             power, inverse = _powers(BASE, size + 1), _powers(INVERSE, size + 1)
         sums = np.zeros(size + 1, dtype=np.uint64)
-        np.cumsum(BYTE_VALUE[low[base : base + size]] * power[:size], out=sums[1:])
+        np.cumsum(values[low[base : base + size]] * power[:size], out=sums[1:])
         s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = mix((sums[e] - sums[s]) * inverse[s])
+        length = (e - s).astype(np.uint64)
+        pieces = np.maximum(1, (e - s + PIECE - 1) // PIECE)
+        if pieces.max() == 1:
+            total = mix((sums[e] - sums[s]) * inverse[s] + _PLACE)
+        else:
+            first = np.cumsum(pieces) - pieces
+            owner = np.repeat(np.arange(len(s)), pieces)
+            place = np.arange(len(owner)) - first[owner]
+            a = s[owner] + PIECE * place
+            z = np.minimum(a + PIECE, e[owner])
+            part = mix((sums[z] - sums[a]) * inverse[a] + _PLACE * (place + 1).astype(np.uint64))
+            total = np.add.reduceat(part, first)
+        out[i:j] = mix(total + length * _LENGTH)
         i = j
     return out
 

@@ -8,7 +8,8 @@ covered lines are merged per document.
 
 Each batch of texts finds its own repeats first and passes on one row per
 distinct window, so a window that a third of all documents hold reaches its
-task once per batch, not once per document. Windows are compared by 128 bits.
+task once per batch, not once per document. Windows are compared by two
+independent hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -37,12 +38,12 @@ def _line_windows(column):
     starts, ends = starts[some], ends[some]
     pointers = np.searchsorted(starts, offsets)
     hashes = kernel.span_hashes(data, starts, ends)
+    others = kernel.span_hashes(data, starts, ends, kernel.OTHER_VALUE)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(pointers))
     n = max(0, len(hashes) - WINDOW + 1)
     inside = row[:n] == row[WINDOW - 1 :][:n]
-    parts = [hashes[i : i + n] for i in range(WINDOW)]
-    one = kernel.sequence_hash(parts)
-    two = kernel.sequence_hash([kernel.mix(p + kernel.MULTIPLIERS[40]) for p in parts])
+    one = kernel.sequence_hash([hashes[i : i + n] for i in range(WINDOW)])
+    two = kernel.sequence_hash([others[i : i + n] for i in range(WINDOW)])
     at = np.arange(n) - pointers[:-1][row[:n]]
     return one[inside], two[inside], row[:n][inside], at[inside]
 
