@@ -10,10 +10,12 @@ from lopside.catalog.tabular import rounded
 from lopside.functions.features import engineer_features
 from lopside.operators import reduce as D
 from lopside.operators import resample as R
+from lopside.operators.approximate import knn_approximate, recall
 from lopside.operators.neighbors import knn_join, vote_shares
 from lopside.operators.prepare import fit_medians, impute, pack
 from lopside.operators.sampling import balanced_bags, three_way_split
 from lopside.schema import FEATURES, KEY, LABEL, RAW_FEATURES
+from lopside.session import materialize
 from lopside.sources.patient import patient
 
 # Whole-number columns: distances between them are exact in both engines.
@@ -139,6 +141,17 @@ def mutual_info(spark, d):
     return rounded(D.mutual_information(whole_features(spark, d), FEATURES, LABEL), ["mi"])
 
 
+def knn_lsh(spark, d):
+    """How many of the five exact neighbours of every vector the approximate join
+    finds, and the recall over all of them."""
+    rows = materialize(embedded(spark, d))
+    found = knn_approximate(rows, rows, 5, "vec_id", label="y", exclude_self=True)
+    exact = knn_join(rows, rows, 5, 2, "vec_id", label="y", exclude_self=True)
+    hits = materialize(recall(found, exact, 5))
+    total = hits.agg((F.sum("hits") / F.sum("wanted")).alias("recall"))
+    return hits.crossJoin(F.broadcast(total))  # one row
+
+
 def neighbor_info(spark, d):
     found = D.neighbor_information(whole_features(spark, d), FEATURES, LABEL)
     return rounded(found, ["mi"], 4)
@@ -166,6 +179,7 @@ QUERIES = {
     "q_pca": pca,
     "q_mutual_info": mutual_info,
     "q_neighbor_info": neighbor_info,
+    "q_knn_lsh": knn_lsh,
     "q_select_k": select_k,
 }
 
