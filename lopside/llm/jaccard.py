@@ -16,16 +16,18 @@ The boundary is the size at which enumerating and scanning cost least in sum.
 Shingles of one class only are never sent: they cannot be shared.
 
 A list is not paired up. Its members are first compared with one of them, that
-shares most of its shingles; most lists are then one component. What is left,
-members of different components of one list, is compared directly, as far as
-sizes, numbers of shareable shingles and bit sketches allow a similarity of 0.8
-(all three never exclude a pair that has it). No link between components is lost.
-
-The links themselves all lie inside components. To count or list them, a
-component's classes are dealt over cells of bounded size, by size band and hash,
-and every two cells that can hold a link count the shingles of all their pairs as
-a matrix product. Links are counted inside a cell, so no pair becomes a row
-unless pairs are asked for; comparisons grow with the square of a component.
+shares most of its shingles; most lists are then one component. A list that still
+holds several belongs to the component with most of its members, and the classes
+of all lists of one owner are gathered once each, however many lists they meet
+in. They are compared there wherever their components differ, which covers
+every pair of every open list, so no link between components is lost; one link
+of two components leaves.
+
+The links themselves all lie inside components and are counted or listed there.
+Both comparisons deal a group's classes over cells of bounded size, by size band
+and hash, and every two cells that can hold a link count the shingles of all
+their pairs as a matrix product. No pair becomes a row unless pairs are asked
+for; comparisons grow with the square of a component or of an owner's group.
 """
 
 from __future__ import annotations
@@ -43,7 +45,6 @@ from lopside.llm.components import connected_components
 from lopside.session import materialize
 
 U64 = np.uint64
-SKETCH = 1024  # bits of a set's sketch, a power of two
 CELL_CLASSES, CELL_BYTES = 512, 4 << 20  # of one cell of a component
 COLUMNS = 4096  # shingles multiplied at a time
 
@@ -126,7 +127,7 @@ def _answer(key, table):
 
 
 _CANDIDATE = ("node bigint, n bigint, shareable bigint, short int, scan double, keys array<bigint>, "
-              "members binary, bits array<bigint>")
+              "members binary")
 
 
 def _candidates(docs, told):
@@ -140,8 +141,7 @@ def _candidates(docs, told):
     r, k, f = row[order], shingle[order], df[order]
     starts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, int)
     ends = np.append(starts[1:], len(r))
-    out = [[] for _ in range(8)]
-    slot = (k >> U64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+    out = [[] for _ in range(7)]
     for a, b in zip(starts.tolist(), ends.tolist()):
         n = b - a
         overlap = -(-4 * n // 5)
@@ -160,12 +160,8 @@ def _candidates(docs, told):
         out[4].append(float(f[first:short].sum()) if short > first else 0.0)
         out[5].append(prefix.view(np.int64))
         out[6].append(np.sort(k[first:b]).astype("<u8").tobytes())
-        bits = np.zeros(SKETCH, dtype=bool)
-        bits[slot[a:b]] = True
-        out[7].append(np.packbits(bits).view(np.int64))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.binary(),
-             pa.list_(pa.int64())]
-    names = ["node", "n", "shareable", "short", "scan", "keys", "members", "bits"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.binary()]
+    names = ["node", "n", "shareable", "short", "scan", "keys", "members"]
     return pa.table([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
 
 
@@ -216,16 +212,6 @@ def _fits(a: str, b: str) -> Column:
             & (9 * F.least(col(f"{a}.shareable"), col(f"{b}.shareable")) >= 4 * (n + m)))
 
 
-def _may_overlap(a: str, b: str) -> Column:
-    """A bit that one sketch has and the other lacks is a shingle of one set only."""
-    def alone(x: str, y: str):
-        words = range(SKETCH // 64)
-        return sum((F.bit_count(F.col(f"{x}.b{i}").bitwiseAND(F.bitwise_not(f"{y}.b{i}"))) for i in words), F.lit(0))
-
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (9 * alone(a, b) <= 5 * n - 4 * m) & (9 * alone(b, a) <= 5 * m - 4 * n)
-
-
 def _similar(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs (u, v) of classes whose sets have a similarity of 0.8."""
     def side(name: str, node: str):
@@ -278,22 +264,25 @@ def similar_classes(found: DataFrame) -> DataFrame:
     links = materialize(_similar(star, found))
     known = materialize(connected_components(links))
 
-    placed = postings.join(known, "node", "left").select(
-        "key", "node", "n", "shareable", "heavy", F.coalesce("component", "node").alias("component"))
-    open_lists = placed.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("held"))
-    open_lists = open_lists.where("low <> high AND held > 2").select("key")
-    sketches = found.select("node", *[F.col("bits")[i].alias(f"b{i}") for i in range(SKETCH // 64)])
-    rest = materialize(placed.join(open_lists, "key", "left_semi").join(sketches, "node"))
-    cross = rest.alias("a").join(rest.alias("b"), "key").where(
-        (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
-        & (F.col("a.heavy") | F.col("b.heavy")) & _fits("a", "b") & _may_overlap("a", "b"))
-    cross = cross.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-    cross = cross.join(star, ["u", "v"], "left_anti")
-    return links.unionAll(materialize(_similar(cross, found)))
-
-
-def _cells(found: DataFrame, firsts: DataFrame, linked: DataFrame) -> DataFrame:
+    meeting = found.join(materialize(_owned(postings, known)), "node").select(
+        F.col("owner").alias("component"), "node", "n", "of", "members")
+    cross = _cells(meeting).groupBy("component", "low", "up", "i", "j").applyInArrow(_crossing, "u bigint, v bigint")
+    return links.unionAll(materialize(cross))
+
+
+def _owned(postings: DataFrame, known: DataFrame) -> DataFrame:
+    """(owner, node, of): classes, with their component, that meet in a list of
+    several components, once for each component that owns such a list."""
+    placed = materialize(postings.join(known, "node", "left").select(
+        "key", "node", "heavy", F.coalesce("component", "node").alias("of")))
+    held = placed.groupBy("key", "of").agg(F.count(F.lit(1)).alias("held"), F.max("heavy").alias("heavy"))
+    open_lists = held.groupBy("key").agg(
+        F.max_by("of", F.struct("held", "of")).alias("owner"), F.count(F.lit(1)).alias("components"),
+        F.max("heavy").alias("heavy")).where("components > 1 AND heavy").select("key", "owner")
+    return placed.join(open_lists, "key").select("owner", "node", "of").distinct()
+
+
+def _cells(classes: DataFrame) -> DataFrame:
     """Classes of components, once for each pair (i, j) of cells they belong to.
 
     A cell is a part of a component or, of a large one, of a band of its sizes;
@@ -301,8 +290,7 @@ def _cells(found: DataFrame, firsts: DataFrame, linked: DataFrame) -> DataFrame:
     """
     parts = F.ceil(F.greatest(
         F.count(F.lit(1)) / CELL_CLASSES, F.sum(F.length("members")) / CELL_BYTES)).cast("int")
-    classes = found.join(linked, "node").join(firsts.select("node", "rows"), "node").select(
-        "component", "node", "n", "rows", "members")
+    columns = classes.columns
     whole = classes.groupBy("component").agg(parts.alias("whole"))
     band = F.when(F.col("whole") == 1, 0).otherwise(F.floor(F.log(1.3, F.col("n")))).cast("int")
     classes = materialize(classes.join(whole, "component").withColumn("band", band).drop("whole"))
@@ -322,7 +310,7 @@ def _cells(found: DataFrame, firsts: DataFrame, linked: DataFrame) -> DataFrame:
             'low', band - 1, 'up', 1, 'i', x, 'j', part, 'side', 1)))""")
     part = F.pmod(F.xxhash64(F.lit(11), "node"), F.col("parts")).cast("int")
     return classes.join(around, ["component", "band"]).withColumn("part", part).select(
-        "component", "node", "n", "rows", "members", F.inline(pairs))
+        *columns, F.inline(pairs))
 
 
 def _common(left: list, right: list, same: bool) -> np.ndarray:
@@ -352,31 +340,54 @@ def _common(left: list, right: list, same: bool) -> np.ndarray:
     return common
 
 
+def _linked(key, cell, *columns: str):
+    """Links of one pair of cells as a matrix, and the columns of either side."""
+    same = key[2].as_py() == 0 and key[3].as_py() == key[4].as_py()
+    side = cell.column("side").to_numpy()
+    left, right = (np.flatnonzero(side == x) for x in (0, 0 if same else 1))
+    sets = [np.frombuffer(x.as_buffer(), dtype="<u8") for x in cell.column("members")]
+    n = cell.column("n").to_numpy()
+    common = _common([sets[x] for x in left], [sets[x] for x in right], same)
+    linked = 100 * common >= 80 * (n[left][:, None] + n[right][None, :] - common)
+    if same:
+        linked = np.triu(linked, 1)
+    values = [cell.column(c).to_numpy() for c in columns]
+    return linked, [v[left] for v in values], [v[right] for v in values]
+
+
+def _pairs(u, v) -> pa.Table:
+    return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+
+def _crossing(key, cell):
+    """Links of one pair of cells between components: one of each two components."""
+    of = cell.column("of").to_numpy()
+    if (of == of[0]).all():
+        return _pairs(of[:0], of[:0])
+    linked, (u, from_), (v, to) = _linked(key, cell, "node", "of")
+    i, j = np.nonzero(linked & (from_[:, None] != to[None, :]))
+    ends = np.stack([np.minimum(from_[i], to[j]), np.maximum(from_[i], to[j])])
+    first = np.unique(ends, axis=1, return_index=True)[1]
+    return _pairs(u[i[first]], v[j[first]])
+
+
 def _links_of(pairs: bool):
     """Links of one pair of cells: (u, v), or the linked rows of each class."""
     def link(key, cell):
-        same = key[2].as_py() == 0 and key[3].as_py() == key[4].as_py()
-        side = cell.column("side").to_numpy()
-        pick = [np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))]
-        sets = [np.frombuffer(x.as_buffer(), dtype="<u8") for x in cell.column("members")]
-        node, n, rows = (cell.column(c).to_numpy() for c in ("node", "n", "rows"))
-        a, b = pick
-        common = _common([sets[x] for x in a], [sets[x] for x in b], same)
-        linked = 100 * common >= 80 * (n[a][:, None] + n[b][None, :] - common)
-        if same:
-            linked = np.triu(linked, 1)
+        linked, (u, u_rows), (v, v_rows) = _linked(key, cell, "node", "rows")
         if pairs:
             i, j = np.nonzero(linked)
-            u, v = node[a][i], node[b][j]
-            return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
-        return pa.table({"node": np.concatenate([node[a], node[b]]),
-                         "linked_rows": np.concatenate([linked @ rows[b], rows[a] @ linked])})
+            return _pairs(u[i], v[j])
+        return pa.table({"node": np.concatenate([u, v]),
+                         "linked_rows": np.concatenate([linked @ v_rows, u_rows @ linked])})
     return link
 
 
 def _in_cells(found: DataFrame, firsts: DataFrame, linked: DataFrame, pairs: bool) -> DataFrame:
     schema = "u bigint, v bigint" if pairs else "node bigint, linked_rows bigint"
-    cells = _cells(found, firsts, linked).groupBy("component", "low", "up", "i", "j")
+    classes = found.join(linked, "node").join(firsts.select("node", "rows"), "node").select(
+        "component", "node", "n", "rows", "members")
+    cells = _cells(classes).groupBy("component", "low", "up", "i", "j")
     return cells.applyInArrow(_links_of(pairs), schema)
 
 

@@ -181,6 +181,20 @@ def test_jaccard_any_boundary(docs, texts, size, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(texts).items()}
 
 
+@pytest.mark.parametrize("cell", [512, 2])
+def test_jaccard_links_that_no_first_member_sees(spark, cell, monkeypatch):
+    monkeypatch.setattr(jaccard, "boundary", lambda found: 1)  # inverted lists only
+    monkeypatch.setattr(jaccard, "CELL_CLASSES", cell)
+    long = [f"w{i}" for i in range(204)]
+    # Each list of documents 0 and 1 begins with a part of the long text, which is like neither.
+    texts = {0: " ".join([*long, "one"]), 1: " ".join([*long, "two"]), 2: " ".join(long[:144]),
+             3: " ".join(long[30:174]), 4: " ".join(long[60:])}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.jaccard_join(table).collect()}
+    assert {i: r[:2] for i, r in got.items()} == brute_components(texts)
+    assert [got[i][1:] for i in range(5)] == [(0, 1), (0, 1), (2, 0), (3, 0), (4, 0)]
+
+
 @pytest.mark.parametrize("cell", [512, 3])
 def test_jaccard_counts_every_link(spark, docs, texts, cell, monkeypatch):
     monkeypatch.setattr(jaccard, "CELL_CLASSES", cell)
