@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lopside.operators.neighbors import BLOCK_ROWS, CHUNK_ROWS, _kernel, _matrix, _result_schema
+from lopside.operators.neighbors import CHUNK_ROWS, _kernel, _matrix, _result_schema
 
 BUCKET_ROWS = 4_096
+PIECE_ROWS = 32_768  # rows of a piece of a larger bucket
 CELLS = 3.0  # about how many intervals hold a direction's rows, at a width of 1.5
 
 
@@ -69,7 +70,7 @@ def _probes(places: np.ndarray, n: int) -> np.ndarray:
 def knn_approximate(
     query: DataFrame, ref: DataFrame, k: int, key: str = "pid", vector: str = "x",
     label: str | None = None, exclude_self: bool = False, tables: int = 12, probes: int = 12,
-    width: float = 1.5, seed: int = 42, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS,
+    width: float = 1.5, seed: int = 42, block_rows: int = PIECE_ROWS, chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """(q, r, dist, y, rank): up to ``k`` near ``ref`` rows of each query row,
     Euclidean, ties to the lower key. A query row that meets nothing has no row.
