@@ -66,6 +66,24 @@ def test_join_far_clusters_route_only_where_needed(spark):
     assert got == brute(q, x, 4, 2)
 
 
+def test_join_shuffles_no_copies_of_the_reference(spark):
+    """Blocks meet chunks in a nested-loop join; a cogroup would copy a block per chunk."""
+    x = RNG.normal(size=(60, 3)).round(2)
+    found = knn_join(table(spark, x), table(spark, x), 3, block_rows=8, chunk_rows=4)
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan
+    assert collected(found) == brute(x, x, 3, 2)
+
+
+def test_join_leaves_out_rows_without_numbers(spark):
+    """Such a row is nobody's neighbour and hides no other row of its block."""
+    x = RNG.normal(size=(40, 3)).round(2)
+    odd = np.vstack([x, [[np.nan, 0.0, 0.0]], [[np.inf, 0.0, 0.0]]])
+    for p in (1, 2):
+        found = collected(knn_join(table(spark, odd), table(spark, odd), 3, p, block_rows=64))
+        assert found == brute(x, x, 3, p)
+
+
 def test_bags_in_one_pass_equal_separate_joins(spark):
     x, q = RNG.normal(size=(80, 4)).round(2), RNG.normal(size=(15, 4)).round(2)
     y = RNG.integers(0, 2, 80)
