@@ -1,7 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lopside.operators import neighbors as kernel
 from lopside.operators.neighbors import knn_join, vote_shares
 from lopside.operators.reduce import fit_bag_pca, fit_pca, mutual_information, select_k_best
 from lopside.operators.resample import enn, smote, smote_rows, smoteenn, smotetomek, tomek_pairs
@@ -84,6 +86,45 @@ def test_join_leaves_out_rows_without_numbers(spark):
         assert found == brute(x, x, 3, p)
 
 
+def test_manhattan_rows_within_a_loose_limit_are_whole_sums(spark):
+    """The first columns leave many rows within the limit, and do not rank them."""
+    rng = np.random.default_rng(11)
+    q, r = np.zeros((6, 40)), np.hstack([rng.random((6000, 16)), 5 * rng.random((6000, 24))])
+    r[300:, :16] += 100
+    want = np.sort(np.abs(q[:, None, :] - r[None]).sum(axis=2), axis=1)
+    rows, _, dist = kernel.nearest_rows(
+        q, np.arange(6), r, np.arange(6000), 3, 1, False, want[:, 2] * 1.15)
+    found = [np.sort(dist[rows == i]) for i in range(6)]
+    assert all(np.allclose(found[i], want[i, :3]) for i in range(6))
+
+
+def test_a_pair_of_chunk_and_block_compares_near_runs_only(monkeypatch):
+    """Most rows of a large block are out of reach of a query row."""
+    rng = np.random.default_rng(5)
+    x, q = rng.random((8192, 2)), 0.3 * rng.random((64, 2))
+    x, q = x[kernel._in_runs(x, 128)], q[kernel._in_runs(q, 32)]
+    pair = pa.RecordBatch.from_pydict({
+        "chunk": [0], "q": [list(range(64))], "x": [q.tobytes()], "bound": pa.array([None], pa.binary()),
+        "r": [list(range(8192))], "rx": [x.tobytes()], "rlow": [x.min(axis=0).tolist()],
+        "rhigh": [x.max(axis=0).tolist()], "y": [[0] * 8192], "bw": [np.ones(8192, np.int32).tobytes()],
+    })
+    compared, real = [], kernel.nearest_rows
+    monkeypatch.setattr(kernel, "nearest_rows", lambda *a: (compared.append(len(a[0]) * len(a[2])), real(*a))[1])
+    held = kernel._Chunk(0, pair, 0, 3, 2, 1, False, [0, 1])
+    held.search(pair)
+    assert sum(compared) < 64 * 8192 / 4
+    got = {(int(i), int(j)): d for i, d, j in zip(*held.best[0][:3])}
+    assert got == brute(q, x, 3, 2)
+
+
+def test_cells_of_a_sample_hold_equal_shares():
+    x = np.vstack([np.random.default_rng(2).normal(size=(900, 3)), np.full((300, 3), 9.0)])
+    cuts = kernel._Cuts.fit(x, 16)
+    counts = np.bincount(cuts.cells_of(x), minlength=len(cuts.centers))
+    assert len(counts) == 16 and counts.sum() == 1200
+    assert counts.max() == 300 and np.sort(counts)[-2] <= 2 * 900 / 15  # equal rows cannot be parted
+
+
 def test_bags_in_one_pass_equal_separate_joins(spark):
     x, q = RNG.normal(size=(80, 4)).round(2), RNG.normal(size=(15, 4)).round(2)
     y = RNG.integers(0, 2, 80)
