@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAF = 64
+LEAF = 256
 FANOUT = 16
 QUERY_BLOCK = 4096
 DATA_SHARD = 4096
@@ -85,6 +85,7 @@ class _Search:
         self.score = np.zeros((len(queries), k), dtype=np.int64)
         self.worst = np.full(len(queries), -np.inf)
         self.filled = np.zeros(len(queries), dtype=np.int64)
+        self.copies = {}  # of leaves
 
     def run(self) -> None:
         if not len(self.q) or not len(self.x):
@@ -93,11 +94,11 @@ class _Search:
         while stack:
             a, b = stack.pop()
             cq, rq, queries, q_children = self.q_tree.nodes[a]
-            cx, rx, points, x_children = self.x_tree.nodes[b]
+            cx, rx, _, x_children = self.x_tree.nodes[b]
             if self._bound(cq, rq, cx, rx) < self.worst[queries].min():
                 continue
             if not q_children and not x_children:
-                self._leaves(queries, points)
+                self._leaves(queries, b)
                 continue
             below_q = q_children or [a]
             below_x = x_children or [b]
@@ -110,26 +111,40 @@ class _Search:
         top = (float(self.qf[cq] @ self.xf[cx]) + rq * self.x_norm[cx] + rx * self.q_norm[cq] + rq * rx)
         return top + 1e-9 * abs(top) + 1.0
 
-    def _leaves(self, queries: np.ndarray, points: np.ndarray) -> None:
-        scores = (self.q[queries] @ self.x[points].T).astype(np.int64)
-        kept = self.ids[points]
-        counts = np.array([len(i) for i in kept])
-        ids = np.concatenate(kept)
-        scores = np.repeat(scores, counts, axis=1)
-        for row, q in enumerate(queries):
-            n = self.filled[q]
-            mine = scores[row]
-            could = (mine >= self.worst[q]) & (ids != self.query_ids[q])
-            if not could.any():
-                continue
-            s = np.concatenate([self.score[q, :n], mine[could]])
-            i = np.concatenate([self.found[q, :n], ids[could]])
-            best = np.lexsort((i, -s))[: self.k]
-            m = len(best)
-            self.score[q, :m], self.found[q, :m] = s[best], i[best]
-            self.filled[q] = m
-            if m == self.k:
-                self.worst[q] = self.score[q, m - 1]
+    def _copies(self, node: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the node's points, id) of every row that is one of them."""
+        if node not in self.copies:
+            kept = self.ids[self.x_tree.nodes[node][2]]
+            self.copies[node] = np.repeat(np.arange(len(kept)), [len(i) for i in kept]), np.concatenate(kept)
+        return self.copies[node]
+
+    def _leaves(self, queries: np.ndarray, node: int) -> None:
+        points = self.x_tree.nodes[node][2]
+        scores = self.q[queries] @ self.x[points].T
+        places, ids = self._copies(node)
+        if len(places) > len(points):
+            scores = scores[:, places]
+        could = scores >= self.worst[queries][:, None]
+        could &= ids != self.query_ids[queries][:, None]
+        row, col = np.divmod(np.flatnonzero(could), len(ids))
+        if not len(row):
+            return
+        # The best so far of the queries that have candidates stand with them.
+        touched = np.unique(row)
+        n = self.filled[queries[touched]]
+        before = np.arange(self.k) < n[:, None]
+        row = np.concatenate([row, np.repeat(touched, n)])
+        score = np.concatenate([scores[could].astype(np.int64), self.score[queries[touched]][before]])
+        vec = np.concatenate([ids[col], self.found[queries[touched]][before]])
+        order = np.lexsort((vec, -score, row))
+        row, score, vec = row[order], score[order], vec[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+        best = rank < self.k
+        q, rank, score, vec = queries[row[best]], rank[best], score[best], vec[best]
+        self.score[q, rank], self.found[q, rank] = score, vec
+        np.maximum.at(self.filled, q, rank + 1)
+        last = rank == self.k - 1
+        self.worst[q[last]] = score[last]
 
 
 def _groups(k: int):

@@ -432,6 +432,25 @@ def test_cover_tree_invariants():
             assert sorted(np.concatenate([tree.nodes[c][2] for c in children])) == sorted(members)
 
 
+def test_top_k_leaves_merge_all_queries_at_once(monkeypatch):
+    """One sort for a pair of leaves, not one for each of its queries; copies keep their ids."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(-256, 256, (300, 16))
+    x[200:] = x[:100]
+    unique, ids = x[:200], np.empty(200, dtype=object)
+    for i in range(200):
+        ids[i] = np.array([i, i + 200] if i < 100 else [i])
+    sorts, real = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: (sorts.append(1), real(keys))[1])
+    search = covertree._Search(x[:150], np.arange(150), unique, ids, 5)
+    search.run()
+    assert len(sorts) < 150
+    monkeypatch.undo()
+    for q in range(150):
+        order = [i for i in np.lexsort((np.arange(300), -(x @ x[q]))) if i != q][:5]
+        assert search.found[q].tolist() == order and search.score[q].tolist() == (x[order] @ x[q]).tolist()
+
+
 def test_top_k_over_shards(spark, monkeypatch):
     monkeypatch.setattr(covertree, "DATA_SHARD", 100)
     monkeypatch.setattr(covertree, "QUERY_BLOCK", 100)
