@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lopside.operators import neighbors as kernel
+from lopside.operators.approximate import knn_approximate
 from lopside.operators.neighbors import knn_join, vote_shares
 from lopside.operators.reduce import fit_bag_pca, fit_pca, mutual_information, select_k_best
 from lopside.operators.resample import enn, smote, smote_rows, smoteenn, smotetomek, tomek_pairs
@@ -125,6 +126,16 @@ def test_cells_of_a_sample_hold_equal_shares():
     assert counts.max() == 300 and np.sort(counts)[-2] <= 2 * 900 / 15  # equal rows cannot be parted
 
 
+def test_joins_pass_on_missing_labels(spark):
+    x = RNG.normal(size=(30, 3)).round(2)
+    df = table(spark, x).withColumn("y", F.when(F.col("pid") % 3 > 0, F.lit(1)))
+    exact = knn_join(df, df, 2, 2, label="y", exclude_self=True)
+    for found in (exact, knn_approximate(df, df, 2, label="y", exclude_self=True)):
+        rows = found.collect()
+        assert len(rows) == 60
+        assert all(r["y"] == (1 if r["r"] % 3 else None) for r in rows)
+
+
 def test_bags_in_one_pass_equal_separate_joins(spark):
     x, q = RNG.normal(size=(80, 4)).round(2), RNG.normal(size=(15, 4)).round(2)
     y = RNG.integers(0, 2, 80)
