@@ -6,22 +6,25 @@ of classes that hold them, rarest first; two similar sets of sizes n and m share
 at least ``o = ceil(4/9 (n + m))`` shingles, so they share one of the first
 ``n - o + 1`` of each, and two of the first ``n - o + 2``.
 
-* **Light** (small) sets enumerate all 2-subsets of the longer prefix; two
-  light sets meet where they have a subset in common, so a shingle that many
-  hold brings nobody together.
+First the members of each inverted list of the shorter prefix are compared with
+one of them, that shares most of its shingles. Most lists are then one component
+and can connect nothing more. Of the others, the open ones, the sets meet by size:
+
+* **Light** (small) sets enumerate all 2-subsets of the longer prefix's open
+  shingles; two light sets meet where they have a subset in common, so a shingle
+  that many hold brings nobody together.
 * **Heavy** (large) sets would enumerate too many; they scan the inverted lists
   of the shorter prefix, which light sets near the boundary join too.
 
 The boundary is the size at which enumerating and scanning cost least in sum.
-Shingles of one class only are never sent: they cannot be shared.
+Shingles of one class only are never sent: they cannot be shared. Two similar sets
+of different components share open shingles only, so none is missed.
 
-A list is not paired up. Its members are first compared with one of them, that
-shares most of its shingles; most lists are then one component. A list that still
-holds several belongs to the component with most of its members, and the classes
-of all lists of one owner are gathered once each, however many lists they meet
-in. They are compared there wherever their components differ, which covers
-every pair of every open list, so no link between components is lost; one link
-of two components leaves.
+No list is paired up. One that holds several components belongs to the one with
+most of its members, and the classes of all lists of one owner are gathered once
+each, however many lists they meet in. They are compared there wherever their
+components differ, which covers every pair of every open list, so no link between
+components is lost; one link of two components leaves.
 
 The links themselves all lie inside components and are counted or listed there.
 Both comparisons deal a group's classes over cells of bounded size, by size band
@@ -47,6 +50,7 @@ from lopside.session import materialize
 U64 = np.uint64
 CELL_CLASSES, CELL_BYTES = 512, 4 << 20  # of one cell of a component
 COLUMNS = 4096  # shingles multiplied at a time
+COMPARED = 64  # sets compared in a cell for the price of one list entry
 
 
 def _sets(column):
@@ -126,8 +130,7 @@ def _answer(key, table):
     return table.select(["block", "shard"]).append_column("body", pa.array(out, pa.binary()))
 
 
-_CANDIDATE = ("node bigint, n bigint, shareable bigint, short int, scan double, keys array<bigint>, "
-              "members binary")
+_CANDIDATE = "node bigint, n bigint, shareable bigint, short int, keys array<bigint>, members binary"
 
 
 def _candidates(docs, told):
@@ -141,7 +144,7 @@ def _candidates(docs, told):
     r, k, f = row[order], shingle[order], df[order]
     starts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, int)
     ends = np.append(starts[1:], len(r))
-    out = [[] for _ in range(7)]
+    out = [[] for _ in range(6)]
     for a, b in zip(starts.tolist(), ends.tolist()):
         n = b - a
         overlap = -(-4 * n // 5)
@@ -157,11 +160,10 @@ def _candidates(docs, told):
         out[1].append(n)
         out[2].append(shareable)
         out[3].append(max(0, short - first))
-        out[4].append(float(f[first:short].sum()) if short > first else 0.0)
-        out[5].append(prefix.view(np.int64))
-        out[6].append(np.sort(k[first:b]).astype("<u8").tobytes())
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.binary()]
-    names = ["node", "n", "shareable", "short", "scan", "keys", "members"]
+        out[4].append(prefix.view(np.int64))
+        out[5].append(np.sort(k[first:b]).astype("<u8").tobytes())
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+    names = ["node", "n", "shareable", "short", "keys", "members"]
     return pa.table([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
 
 
@@ -179,7 +181,7 @@ def boundary(found: DataFrame) -> int:
     """Size from which scanning lists is cheaper than enumerating 2-subsets."""
     steps = found.groupBy(F.floor(8 * F.log2("n")).alias("step")).agg(
         F.min("n").alias("n"), F.sum(F.size("keys") * (F.size("keys") - 1) / 2).alias("light"),
-        F.sum("scan").alias("heavy")).orderBy("step").collect()
+        F.sum(F.col("short") + F.col("scan") / COMPARED).alias("heavy")).orderBy("step").collect()
     best, size, light, heavy = None, 1, 0.0, sum(s["heavy"] for s in steps)
     for s in [*steps, None]:
         if best is None or light + heavy < best:
@@ -250,26 +252,45 @@ def _distinct_lists(postings: DataFrame) -> DataFrame:
 
 def similar_classes(found: DataFrame) -> DataFrame:
     """Links (u, v) that connect all classes that similarity connects."""
-    postings = materialize(_distinct_lists(_postings(found, boundary(found))))
+    postings = materialize(_distinct_lists(_postings(found, 1)))
     # The first member is one that shares most of its shingles: of near copies,
     # the text they come from, which is closer to each than they are to each other.
-    entry = F.struct(
-        (1 - F.col("shareable") / F.col("n")).alias("alone"), "node", "n", "shareable", "heavy")
+    entry = F.struct((1 - F.col("shareable") / F.col("n")).alias("alone"), "node", "n", "shareable")
     lists = postings.groupBy("key").agg(F.min(entry).alias("c"))
     star = postings.alias("p").join(lists.alias("l"), "key").where(
-        (F.col("p.node") != F.col("c.node")) & (F.col("p.heavy") | F.col("c.heavy")) & _fits("p", "c"))
+        (F.col("p.node") != F.col("c.node")) & _fits("p", "c"))
     star = star.select(
         F.least("c.node", "p.node").alias("u"), F.greatest("c.node", "p.node").alias("v"))
     star = materialize(star.distinct())
     links = materialize(_similar(star, found))
     known = materialize(connected_components(links))
 
+    still = materialize(_open(found, known))
+    postings = materialize(_distinct_lists(_postings(still, boundary(still))))
     meeting = found.join(materialize(_owned(postings, known)), "node").select(
         F.col("owner").alias("component"), "node", "n", "of", "members")
     cross = _cells(meeting).groupBy("component", "low", "up", "i", "j").applyInArrow(_crossing, "u bigint, v bigint")
     return links.unionAll(materialize(cross))
 
 
+def _open(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Classes with those of their prefix shingles that classes of other components
+    hold too, in order; ``scan`` counts those others in the lists to scan."""
+    about = ["node", "n", "shareable", "short"]
+    entries = found.select(*about, "keys").join(known, "node", "left").select(
+        *about, F.coalesce("component", "node").alias("of"), F.posexplode("keys").alias("at", "key"))
+    counts = entries.groupBy("key", "of").agg(F.count(F.lit(1)).alias("own"))
+    others = counts.join(counts.groupBy("key").agg(F.sum("own").alias("held")), "key").select(
+        "key", "of", (F.col("held") - F.col("own")).alias("others")).where("others > 0")
+    kept = entries.join(others, ["key", "of"]).groupBy(*about).agg(
+        F.array_sort(F.collect_list(F.struct("at", "key", "others"))).alias("kept"))
+    scanned = F.filter("kept", lambda e: e["at"] < F.col("short"))
+    return kept.select(
+        "node", "n", "shareable", F.size(scanned).alias("short"),
+        F.aggregate(scanned, F.lit(0).cast("bigint"), lambda total, e: total + e["others"]).alias("scan"),
+        F.col("kept.key").alias("keys"))
+
+
 def _owned(postings: DataFrame, known: DataFrame) -> DataFrame:
     """(owner, node, of): classes, with their component, that meet in a list of
     several components, once for each component that owns such a list."""

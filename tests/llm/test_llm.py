@@ -195,6 +195,22 @@ def test_jaccard_links_that_no_first_member_sees(spark, cell, monkeypatch):
     assert [got[i][1:] for i in range(5)] == [(0, 1), (0, 1), (2, 0), (3, 0), (4, 0)]
 
 
+def test_jaccard_enumerates_open_shingles_only(spark, monkeypatch):
+    seen, cost = [], jaccard.boundary
+    monkeypatch.setattr(jaccard, "boundary", lambda found: seen.append(found.collect()) or cost(found))
+    base, other = ([f"{x}{i}" for i in range(104)] for x in "ab")
+    texts = {i: " ".join([*base[: 104 - i], f"end{i}"]) for i in range(10)}  # all like the longest
+    texts |= {20: " ".join(other[:60]), 21: " ".join(other[40:])}  # share shingles, are not alike
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(table).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(texts).items()}
+    assert not seen[0]  # copies of one component enumerate nothing
+    texts |= {30: " ".join([*base[:30], *other[:3]])}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(table).collect()} == {
+        i: c for i, (_, c) in brute_components(texts).items()}
+
+
 @pytest.mark.parametrize("cell", [512, 3])
 def test_jaccard_counts_every_link(spark, docs, texts, cell, monkeypatch):
     monkeypatch.setattr(jaccard, "CELL_CLASSES", cell)
