@@ -18,6 +18,7 @@ import hashlib
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -119,7 +120,8 @@ class Tokenizers:
             return
         text = "".join(group)
         spelled = text.encode()
-        ends = np.cumsum([len(p.encode()) for p in group]) if len(group) > 1 else np.array([len(spelled)])
+        lengths = map(len, group if len(spelled) == len(text) else map(str.encode, group))
+        ends = np.cumsum(np.fromiter(lengths, np.int64, len(group)))
         sides = []
         for ids, length, spell in (
                 (self.a.encode(text, add_special_tokens=False).ids, self.a_length, self.a_bytes),
@@ -128,8 +130,10 @@ class Tokenizers:
                 break
             packed = np.array(ids, dtype=np.uint32)
             token_ends = np.cumsum(length[packed])
-            at = np.searchsorted(token_ends, ends)
-            if not np.array_equal(token_ends[at], ends):
+            at = np.full(len(spelled) + 1, -1, dtype=np.int32)
+            at[token_ends] = np.arange(len(token_ends), dtype=np.int32)
+            at = at[ends].astype(np.int64)
+            if (at < 0).any():
                 break
             # Bytes, not lists: the garbage collector does not visit them.
             raw, at = packed.tobytes(), 4 * (at + 1)
@@ -148,24 +152,23 @@ class Tokenizers:
         Each distinct piece of the texts is encoded once."""
         pieces = [self._pieces(t) if t else [] for t in texts]
         known = self.known
-        fresh = list({p for row in pieces for p in row if p not in known})
-        group, size = [], 0
-        for p in fresh:
-            if len(p) > 1 and _SOLID.match(p, 1) and _SOLID.match(p, len(p) - 1):
-                group.append(p)
-                size += len(p)
-                if size > JOINED:
-                    self._learn(group)
-                    group, size = [], 0
-            else:
-                self._learn([p])
-        self._learn(group)
+        fresh = set(chain.from_iterable(pieces)).difference(known)
+        # Cuts have solid characters beside them; only a text's ends may not be solid.
+        edges = {p for row in pieces if row for p in (row[0], row[-1])} & fresh
+        alone = {p for p in edges if not (len(p) > 1 and _SOLID.match(p, 1) and _SOLID.match(p, len(p) - 1))}
+        for p in alone:
+            self._learn([p])
+        group = list(fresh - alone)
+        letters = np.cumsum(np.fromiter(map(len, group), np.int64, len(group))) // JOINED
+        ends = np.flatnonzero(np.diff(letters)) + 1
+        for first, last in zip([0, *ends.tolist()], [*ends.tolist(), len(group)]):
+            self._learn(group[first:last])
         out = ([], [])
         for row in pieces:
-            found = [known[p] for p in row]
-            fits = None not in found
-            for side in (0, 1):
-                out[side].append(b"".join([f[side] for f in found]) if fits else b"")
+            found = list(map(known.__getitem__, row))
+            fits = bool(found) and all(found)  # what is known is None or a pair
+            for side, ids in zip(out, zip(*found) if fits else ((), ())):
+                side.append(b"".join(ids))
         if len(known) > CACHED_PIECES:
             known.clear()
         else:
@@ -207,14 +210,18 @@ def overlapping(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarra
 def _group_strings(a: pd.DataFrame, b: pd.DataFrame, cuts: np.ndarray, said: Tokenizers, n_docs: int) -> list[str]:
     """``a1,a2|b1;a3|b2,b3`` of every document, '' without tokens."""
     a_end, b_end = a["end"].to_numpy(), b["end"].to_numpy()
-    a_group, b_group = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
-    a_last = np.isin(a_end, cuts, assume_unique=True)
-    b_last = np.isin(b_end, cuts, assume_unique=True)
+    # Cuts at each byte and up to it.
+    here = np.zeros(max(a_end.max(initial=0), b_end.max(initial=0)) + 1, dtype=np.int64)
+    here[cuts] = 1
+    upto = np.cumsum(here)
+    a_last, b_last = here[a_end] > 0, here[b_end] > 0
+    a_group, b_group = upto[a_end] - here[a_end], upto[b_end] - here[b_end]
     out = np.empty(len(a) + len(b), dtype=object)
     # Before a token stand its own side's earlier ones and the other side's of
     # earlier groups, for B of its own group too.
-    b_before = np.searchsorted(b_group, a_group, side="left")
-    a_before = np.searchsorted(a_group, b_group, side="right")
+    until = [np.cumsum(np.bincount(group, minlength=len(cuts) + 1)) for group in (a_group, b_group)]
+    b_before = np.concatenate([[0], until[1]])[a_group]
+    a_before = until[0][b_group]
     ids = a["id"].to_numpy()
     out[np.arange(len(a)) + b_before] = np.where(a_last, said.a_said[1][ids], said.a_said[0][ids])
     ids = b["id"].to_numpy()

@@ -279,3 +279,27 @@ def test_overlaps_equal_brute_force(spark, texts, brute):
 
 def test_alignment_of_an_empty_table(spark, texts):
     assert align.aligned_documents(texts.limit(0), A_JSON, B_MODEL).count() == 0
+
+
+def test_pieces_inside_a_text_are_not_looked_at_again(monkeypatch):
+    class Counted:
+        calls = 0
+
+        def match(self, *args):
+            Counted.calls += 1
+            return solid.match(*args)
+
+    solid = align._SOLID
+    tokenizers = align.Tokenizers(A_JSON, B_MODEL)
+    texts = [" ".join(f"word{i}é" for i in range(500)), "　odd  ends of 中文 \n", "", None, "x", " ", "x y\t"]
+    whole = [(tokenizers.a.encode(" " + t, add_special_tokens=False).ids, tokenizers.b.encode(t)) if t else ([], [])
+             for t in texts]
+    monkeypatch.setattr(align, "_SOLID", Counted())
+    for _ in range(2):  # known pieces give the same
+        got = tokenizers.encode(texts)
+        for side in (0, 1):
+            for text, ids, packed in zip(texts, whole, got[side]):
+                fits = text and all(b"".join(spell[i] for i in x) == (" " + text).encode() for spell, x in zip(
+                    (tokenizers.a_bytes, tokenizers.b_bytes), ids))
+                assert np.frombuffer(packed, np.uint32).tolist() == (list(ids[side]) if fits else [])
+    assert Counted.calls <= 4 * len(texts) * 2
