@@ -123,6 +123,17 @@ def test_uneven_thresholds(spark):
     assert got == {0.1: (1, 1), 0.25: (1, 0), 0.9: (0, 0)}
 
 
+def test_many_uneven_thresholds_are_searched_by_halves(spark):
+    grid = sorted({t for f in ("lr", "nb", "rf", "xgb") for t in family_grid(f)})
+    points = [*grid, 0.0, 0.999, float("nan")]
+    df = scored(spark, [(1, p) for p in points])
+    swept = M.threshold_sweep(df, grid)
+    assert {r["threshold"]: r["tp"] for r in swept.collect()} == {
+        t: sum(p != p or p >= t for p in points) for t in grid}
+    # No row is compared with every threshold.
+    assert "filter(" not in swept._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_lower_threshold_wins_ties(spark):
     df = scored(spark, [(1, 0.8), (0, 0.1)])
     best = M.best_threshold(M.threshold_sweep(df, [0.2, 0.4, 0.6]), 0.5).first()
