@@ -227,3 +227,40 @@ def test_information_ranks_the_informative_column(spark):
     assert got["good"] == pytest.approx(np.log(2), abs=1e-3)
     assert got["noise"] < 0.02 and got["constant"] == pytest.approx(0.0)
     assert select_k_best(scores, 1).first()["feature"] == "good"
+
+
+def test_a_join_of_rows_with_themselves_writes_vectors_four_times(spark):
+    from pathlib import Path
+
+    from lopside.session import ensure_checkpoint_dir
+
+    home = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(home.rglob("table-*"))
+    rows = spark.createDataFrame([(i, [float(i % 17), float(i % 5)]) for i in range(200)], "pid long, x array<double>")
+    apart = rows.select("pid", "x")
+    alone = {(r["q"], r["rank"]): (r["r"], r["dist"]) for r in knn_join(rows, apart, 3, exclude_self=True).collect()}
+    between = set(home.rglob("table-*"))
+    same = {(r["q"], r["rank"]): (r["r"], r["dist"]) for r in knn_join(rows, rows, 3, exclude_self=True).collect()}
+    # The rows, their blocks, their chunks, and the chunks with how far they look.
+    assert len(set(home.rglob("table-*")) - between) == 4 and len(between - before) == 5
+    assert same == alone and len(same) == 600
+
+
+def test_synthetic_rows_get_vectors_per_pair_of_ends(spark):
+    few = [(i, 1, [float(i * i % 11), float(i % 3)]) for i in range(8)]
+    rows = [*few, few[3], *[(100 + i, 0, [0.0, 0.0]) for i in range(60)]]  # one key twice
+    df = spark.createDataFrame(rows, "pid long, y int, x array<double>")
+    made = smote_rows(df, "y", 42)
+    vector = {k: x for k, _, x in few}
+    n_new = 60 - 9
+    got = made.collect()
+    assert {r["base"] for r in got} == set(vector)
+    for r in got:
+        want = [b + r["u"] * (n - b) for b, n in zip(vector[r["base"]], vector[r["neighbor"]])]
+        assert r["x"] == want and r["y"] == 1
+    copies = {(r["base"], r["copy"]) for r in got}
+    per_base = {b: sum(c[0] == b for c in copies) for b in vector}
+    assert sum(n * (2 if b == 3 else 1) for b, n in per_base.items()) == n_new
+    # A copy is a row of its own only after both vectors have come.
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(_copies") < plan.index("Join ")
