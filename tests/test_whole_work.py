@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lopside.catalog import learning
+from lopside.operators import approximate
 from lopside.plans import families
 
 
@@ -20,3 +21,25 @@ def test_bagged_neighbours_have_a_searched_number_of_bags(spark, sf, monkeypatch
     learning.bag_pca_knn(spark, sf)
     assert asked["n_bags"] in grid["n"] and asked["drawn"] == asked["n_bags"]
     assert asked["n_components"] in grid["components"] and asked["k"] in grid["k"]
+
+
+def test_a_query_row_goes_once_to_a_slice():
+    slices = np.array([[5, 3, 5, 5], [1, 1, 1, 1]])
+    buckets = np.array([[8, 9, 7, 8], [4, 2, 4, 2]])
+    got = approximate._spots(slices[:, None, :], buckets[:, None, :]).to_pylist()
+    assert got == [
+        [{"slice": 3, "buckets": [9]}, {"slice": 5, "buckets": [7, 8]}], [{"slice": 1, "buckets": [2, 4]}]]
+
+
+def test_approximate_join_over_many_slices_keeps_what_it_meets(spark, monkeypatch):
+    rnd = np.random.default_rng(7)
+    x = rnd.normal(size=(500, 6))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "pid long, x array<double>").repartition(3).cache()
+    monkeypatch.setattr(approximate, "BUCKET_ROWS", 10)  # several directions
+    found = {}
+    for directions in (0, 2, 9):  # a bucket, some, all of them are a slice
+        monkeypatch.setattr(approximate, "SLICE_DIRECTIONS", directions)
+        near = approximate.knn_approximate(df, df, 4, exclude_self=True, tables=3, probes=6, chunk_rows=50)
+        found[directions] = sorted((r["q"], r["rank"], r["r"], r["dist"]) for r in near.collect())
+    assert found[0] == found[2] == found[9] and len(found[0]) > 1500
